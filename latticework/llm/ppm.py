@@ -32,7 +32,7 @@ from .common import LOWER, stored, texts, utf8
 MARK = 0xFF
 ORDER = 4
 MAX_CONTEXTS = 65_536
-MAX_FREQUENT = 300_000
+MAX_FREQUENT = 200_000
 _FLUSH = 1_000_000
 _CHUNK = 1 << 21
 
@@ -285,7 +285,6 @@ def score(docs: DataFrame, held_out, max_contexts: int = MAX_CONTEXTS, max_frequ
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, n_all, v_all = known.value
         logs = {w: float(np.log10((c + 1) / (n_all + v_all + 1))) for w, c in common.items()}
-        seen = {w: c > 0 for w, c in common.items()}
         for batch in batches:
             model = _model(shipped)
             rows, keys, tokens, hits, base = texts(batch.column(1)), [], [], [], []
@@ -295,9 +294,9 @@ def score(docs: DataFrame, held_out, max_contexts: int = MAX_CONTEXTS, max_frequ
                 own = Counter(words)
                 keys.append(hashlib.md5(text).digest())
                 tokens.append(len(words))
-                inside = [(t, w) for w, t in own.items() if w in logs]
-                hits.append(sum(t for t, w in inside if seen[w]))
-                base.append(sum(t * logs[w] for t, w in inside))
+                inside = [(t, logs[w]) for w, t in own.items() if w in logs]
+                hits.append(sum(t for t, _ in inside) - (common.get(b"", 0) == 0 and b"" in logs))
+                base.append(sum(t * x for t, x in inside))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(model.score(*utf8(batch.column(1))))],
                 ["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "score"],
