@@ -26,7 +26,7 @@ GRAM = 4
 #: Labelled good texts that the trusted counts are taken from, at most.
 MAX_TRUSTED = 20_000
 #: Least mean log2 ratio of a kept text, in multiples of 2^-16.
-THRESHOLD = -round(0.35 * 65_536)
+THRESHOLD = -round(0.5 * 65_536)
 SYMBOLS = b"#*$%&|<>"
 _CHUNK = 1 << 21
 
