@@ -164,12 +164,13 @@ def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, marks: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Texts without words, empty and null ones have no shingles and link with nothing: their component_id is their own id.
     Rows with equal sets are linked, repeated rows and rows that share an id too. A null id is never the smallest; a
-    component of null ids only has none. Other columns are ignored.
+    component of null ids only has none. Other columns are ignored. marks adds text_key (hash of the text) and chosen (whether
+    a row stands for its component).
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -294,11 +295,24 @@ def join(docs: DataFrame) -> DataFrame:
     others = placed.repartition(parts, "shingle").mapInArrow(across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = links(stored(others, "pairs"))
     whole = components(sure.union(more))
-    least = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(whole.withColumnRenamed("node", "key"), "key", "left")
+    least = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")).join(whole.withColumnRenamed("node", "key"), "key", "left")
     least = least.select("key", "least", F.coalesce("component", "key").alias("component"))
-    names = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = least.join(names, "component").select(F.col("key").alias("_key"), "component_id")
-    return rows.join(known, (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = least.groupBy("component").agg(F.min("least").alias("best"))
+    known = least.join(names, "component").select(F.col("key").alias("_key"), "best")
+    out = rows.join(known, (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left")
+    chosen = F.coalesce(F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & F.col("best.text_key").eqNullSafe(F.col("text_key")), F.lit(True))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key", F.when(F.col("n") > 0, chosen).otherwise(F.lit(True)).alias("chosen"))
+    return out if marks else out.drop("text_key", "chosen")
+
+
+def distinct(docs: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ..) without near duplicates: of each component, one row with its smallest id (and, among
+    rows of that id, smallest text hash); all rows without shingles stay, but for repeated ones."""
+    chosen = join(docs, marks=True).where("chosen").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
+    chosen = stored(chosen, "chosen")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(_few(chosen, MAX_KEYS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def join_sql() -> str:

@@ -249,3 +249,20 @@ def find(docs: DataFrame, redact: bool = False) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string" + ", redacted string" * redact
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The columns of docs with text redacted and, where there is one, n_chars counted anew; a null text stays null."""
+    shipped = docs.sparkSession.sparkContext.broadcast(train())
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, least = shipped.value
+        for batch in batches:
+            clean = [None if t is None else redacted(t, all_spans(t, base_spans(t), model, least)) for t in batch.column(where).to_pylist()]
+            columns = list(batch.columns)
+            columns[where] = pa.array(clean, batch.schema.field(where).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
