@@ -1,15 +1,446 @@
-"""Registered queries of the graph and time-series engine, with their SQL counterparts."""
+"""Registered queries of the graph and time-series engine, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import answers, uri
+from .operators import attach, baselines, evaluate, lookup, pulls, records, skeleton, taxonomy, timeseries, traverse, view
+from .plans.selection import Graph, rule_pulls, select
+from .shared import stored
+from .sources import fixture
+from .sources.graphs import normalize_edges, normalize_nodes
+
+_graphs: dict[tuple[str, str], Graph] = {}
+_spines: dict[tuple[str, str], tuple[view.Spine, DataFrame]] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        nodes, edges, subclasses = fixture.tables(spark, sf_dir)
+        _graphs[key] = Graph(stored(normalize_nodes(nodes), "nodes"), stored(normalize_edges(edges), "edges"), subclasses)
+    return _graphs[key]
+
+
+def spined(spark: SparkSession, sf_dir: str) -> tuple[Graph, view.Spine, DataFrame]:
+    """The graph, the spines of all targets, and the entries of their views."""
+    key, g = (spark.sparkContext.applicationId, sf_dir), graph(spark, sf_dir)
+    if key not in _spines:
+        own = view.spine(g.targets, g.attached, g.skeleton)
+        _spines[key] = own, stored(view.entries(g.targets, own, g.attached, g.skeleton), "entries")
+    return g, *_spines[key]
+
+
+def _of_class(g: Graph, *classes: str) -> DataFrame:
+    return g.skeleton.nodes.where(F.col("brick_class").isin(*classes)).select(F.col("node_id").alias("start"), F.col("node_id").alias("node"))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("null" if x is None else str(x) if isinstance(x, int) else "'" + x + "'" for x in r) + ")" for r in rows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """For each forecast target, how many leaves of its class lie below its first feeding parent: the largest cohorts first."""
+    g, own, listed = spined(spark, sf_dir)
+    starts = listed.where("section = 'parent' and rel = 'feeds'").groupBy("target").agg(F.min_by("node", "ord").alias("node"))
+    out = view.cohorts(g.targets, starts, g.attached, g.skeleton)
+    return out.select("target", F.col("node").alias("parent"), F.col("n").alias("n_peers")).orderBy(F.desc("n_peers"), "target")
+
+
+# Fixed requests: one of each kind for every target, and a point class.
+_CLASS = "Zone_Air_Temperature_Sensor"
+
+
+def _pulls(g: Graph, listed: DataFrame) -> DataFrame:
+    return rule_pulls(g.targets, listed)
+
+
+def _pull(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, _, listed = spined(spark, sf_dir)
+        own = {
+            "self": listed.where("section = 'host'").select("target", F.col("node").alias("anchor"), F.lit(None).cast("string").alias("point_class")),
+            "subtree": listed.where("section = 'parent' and rel = 'hasPart'").select("target", F.col("node").alias("anchor"), F.lit(_CLASS).alias("point_class")),
+            "building": g.targets.select("target", F.lit("").alias("anchor"), F.lit("Outside_Air_Temperature_Sensor").alias("point_class")),
+            "cluster": listed.where("section = 'cluster'").select("target", F.col("node").alias("anchor"), F.lit(None).cast("string").alias("point_class")),
+        }[mode]
+        asked = own.withColumns({"pull_ord": F.lit(0), "expand": F.lit(mode)})
+        found = pulls.resolve(pulls.candidates(asked, view.anchors(listed), g.attached, g.members, g.skeleton))
+        return found.groupBy("target").agg(F.count("*").alias("n_leaves"), F.min("leaf").alias("first_leaf"), F.max("leaf").alias("last_leaf"))
+
+    return run
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[Graph, view.Spine, DataFrame, DataFrame]:
+    g, own, listed = spined(spark, sf_dir)
+    asked = stored(_pulls(g, listed), "asked")
+    return g, own, asked, stored(pulls.resolve(pulls.candidates(asked, view.anchors(listed), g.attached, g.members, g.skeleton)), "resolved")
+
+
+def _audited(kept: DataFrame, g: Graph) -> DataFrame:
+    """CO2 sensors go; a first outdoor sensor, if not chosen, comes."""
+    drop = g.targets.select("target", F.lit("CO2_Sensor").alias("leaf_class"))
+    add = g.targets.select("target", F.lit("b/x#oat0").alias("leaf"), F.lit("Outside_Air_Temperature_Sensor").alias("leaf_class"), F.lit(1).alias("ord"))
+    return pulls.audited(kept, drop, add)
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("sensor_id"), "ts", "value")
+
+
+HOUR, DAY, LOOKBACK, HORIZON, STRIDE = 3600, 24, 96, 24, 16
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.grid(_readings(spark, sf_dir), HOUR)
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.edge_filled(timeseries.interpolated(_hourly(spark, sf_dir)))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _coarse(df: DataFrame) -> DataFrame:
+    """Values in 100 steps, so that runs of equal ones occur."""
+    return df.withColumn("value", F.floor(F.col("value") / 100).cast("double"))
+
+
+def _forecast(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = stored(_filled(spark, sf_dir), "filled")
+        w = timeseries.windows(x, LOOKBACK, HORIZON, STRIDE)
+        return evaluate.persistence(x, w) if kind == "persistence" else evaluate.seasonal(x, w, DAY)
+
+    return run
+
+
+def _errors(spark: SparkSession, sf_dir: str, kind: str = "persistence") -> DataFrame:
+    return evaluate.errors(_forecast(kind)(spark, sf_dir), _filled(spark, sf_dir))
+
+
+def _hops(most: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = graph(spark, sf_dir)
+        found = baselines.hops(g.targets, g.nodes, g.edges, most)
+        return found.groupBy("target").agg(F.count("*").alias("n_leaves"), F.min("leaf").alias("first_leaf"), F.max("leaf").alias("last_leaf"), F.sum("h").alias("sum_h"))
+
+    return run
+
+
+def _simple(f: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(graph(spark, sf_dir))
+
+
+def _viewed(f: Callable[[Graph, view.Spine, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(*spined(spark, sf_dir))
+
+
+def _per_target(kept: DataFrame) -> DataFrame:
+    return kept.groupBy("target").agg(F.count("*").alias("n_leaves"), F.min("leaf").alias("first_leaf"), F.max("leaf").alias("last_leaf"))
+
+
+def _record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = select(graph(spark, sf_dir))
+    return out.select(F.col("target_uri").alias("target"), "n_leaves", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), "spine_size", "orphan", F.array_join("roots_reached", ",").alias("roots"), "n_pre_cap")
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, own, _, kept = _resolved(spark, sf_dir)
+    n = pulls.capped(kept).groupBy("target").agg(F.count("*").alias("n_leaves"))
+    sizes = own.flags.withColumnRenamed("start", "target").join(n, "target", "left").select(F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), F.lit(False).alias("fallback_used"), "orphan")
+    return records.quality_summary(sizes)
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _, _, kept = _resolved(spark, sf_dir)
+    return _per_target(_audited(kept, g))
+
+
+def _record_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, own, _, kept = _resolved(spark, sf_dir)
+    return records.edges(own, pulls.capped(kept), g.attached)
+
+
+def _wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, asked, kept = _resolved(spark, sf_dir)
+    return pulls.resolved_counts(asked, kept).select("target", "pull_ord", "expand", "n_resolved")
+
+
+_ANSWERS = (
+    ("fenced", '```json\n{"pulls": [{"anchor": "A1", "expand": "self", "point_class": "", "reason": "r"}], "summary": "s"}\n```'),
+    ("bare", 'I pick nothing: {"pulls": [], "summary": "none"} so'),
+    ("broken", '```json\n{"pulls": [}\n```'),
+    ("empty", ""),
+)
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = spark.createDataFrame(list(_ANSWERS), "name string, content string").withColumn("a", answers.parse(F.col("content")))
+    return x.select("name", F.size("a.pulls").alias("n_pulls"), "a.summary")
+
+
+def _contexts(g: Graph, own: view.Spine, listed: DataFrame) -> DataFrame:
+    return view.rendered(g.targets, view.lines(g.targets, listed, g.attached, g.skeleton, g.members))
+
+
+def _neighbours(relations: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    return _simple(lambda g: lookup.neighbours(g.nodes, g.edges, g.nodes, relations, most=1000))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "flagship": flagship,
+    "kg_node_types": _simple(lambda g: g.nodes.groupBy("brick_class").agg(F.count("*").alias("n"), F.sum(F.col("has_ts").cast("long")).alias("n_ts"))),
+    "kg_edge_rels": _simple(lambda g: g.edges.groupBy("rel").agg(F.count("*").alias("n"))),
+    "edge_inverses": lambda s, d: normalize_edges(fixture.tables(s, d)[1], add_inverse=True).groupBy("rel").agg(F.count("*").alias("n")),
+    "uri_fragment": _simple(lambda g: g.nodes.select("node_id", uri.fragment(F.col("node_id")).alias("fragment"))),
+    "uri_short": _simple(lambda g: g.nodes.select("node_id", uri.short(F.col("node_id")).alias("short"))),
+    "uri_dotted_prefix": _simple(lambda g: g.nodes.select("node_id", uri.dotted_prefix(F.col("node_id")).alias("prefix"))),
+    "uri_resolve": _simple(lambda g: lookup.resolve(g.nodes, g.nodes.select(uri.fragment(F.col("node_id")).alias("name")).distinct())),
+    "relation_names": lambda s, d: fixture.tables(s, d)[1].select("rel", "rel_canonical").distinct().select("rel", "rel_canonical", uri.canonical(F.col("rel")).alias("canonical"), uri.is_global(F.col("rel_canonical")).alias("is_global"), uri.base_relation(F.col("rel_canonical")).alias("base")),
+    "node_metadata": _simple(lambda g: lookup.metadata(g.nodes, g.edges.select(F.col("src").alias("node_id")).distinct()).select("node_id", "brick_class", "has_ts")),
+    "class_top_type": _simple(lambda g: taxonomy.top_types(g.nodes, g.subclasses)),
+    "skeleton_nodes": _simple(lambda g: g.skeleton.nodes.select("node_id", "brick_class", "top_type")),
+    "skeleton_edges": _simple(lambda g: g.skeleton.edges.select("src", "rel", "dst")),
+    "skeleton_roots": _simple(lambda g: g.skeleton.roots.select("node_id")),
+    "skeleton_isolated": _simple(lambda g: skeleton.isolated(g.skeleton)),
+    "skeleton_summary": _simple(lambda g: skeleton.summary(g.skeleton)),
+    "skeleton_parents": _simple(lambda g: skeleton.parents(g.skeleton, g.skeleton.nodes)),
+    "skeleton_children": _simple(lambda g: skeleton.children(g.skeleton, g.skeleton.nodes)),
+    "forecast_targets": _simple(lambda g: g.targets.select("target", "target_class")),
+    "query_class": _simple(lambda g: lookup.query_class(g.nodes, _CLASS, has_ts=True).select("node_id", "brick_class")),
+    "neighbors_typed": _neighbours(["feeds", "hasPart"]),
+    "neighbors_inverse": _neighbours(["isFedBy", "isPartOf", "hasLocation"]),
+    "neighbors_global": _simple(lambda g: lookup.global_neighbours(g.nodes, g.edges, g.nodes)),
+    "attach_points": _simple(lambda g: g.attached.select("parent", "leaf", "leaf_class")),
+    "host_histogram": _simple(lambda g: attach.host_histogram(g.attached)),
+    "hosts_of_class": _simple(lambda g: attach.hosts_of_class(g.attached)),
+    "orphan_leaves": _simple(lambda g: attach.orphan_leaves(g.nodes, g.attached)),
+    "skeleton_orphans": _simple(lambda g: g.members.select("leaf")),
+    "cluster_members": _simple(lambda g: g.members),
+    "cluster_peers": _simple(lambda g: attach.cluster_peers(g.members)),
+    "cluster_histogram": _simple(lambda g: attach.cluster_histogram(g.members)),
+    "up_cone_nodes": _simple(lambda g: traverse.up_cone(g.skeleton, _of_class(g, "HVAC_Zone"))),
+    "up_cone_edges": _simple(lambda g: traverse.cone_edges(g.skeleton, traverse.up_cone(g.skeleton, _of_class(g, "HVAC_Zone"), 3), 3)),
+    "subtree_nodes": _simple(lambda g: traverse.subtree(g.skeleton, _of_class(g, "Building", "Floor", "AHU")).select("start", "node")),
+    "primary_path": _simple(lambda g: traverse.primary_path(g.skeleton, _of_class(g, "HVAC_Zone")).select("start", F.array_join("path", ">").alias("path"))),
+    "reaches_root": _simple(lambda g: traverse.reaches_root(g.skeleton, traverse.up_cone(g.skeleton, _of_class(g, "HVAC_Zone")))),
+    "spine_roots": _viewed(lambda g, own, _: view.roots_reached(g.skeleton, own)),
+    "ancestry_order": _viewed(lambda g, own, _: view.ancestry_order(g.skeleton, own)),
+    "points_under_self": _simple(lambda g: attach.points_under(g.attached, _of_class(g, "HVAC_Zone", "Building", "Unknown_Ext")).select("start", "leaf", "leaf_class")),
+    "points_under_subtree": _simple(lambda g: attach.points_under(g.attached, traverse.subtree(g.skeleton, _of_class(g, "Floor"))).groupBy("start", "leaf_class").agg(F.count("*").alias("n"))),
+    "cohort_size": _viewed(lambda g, _, listed: view.cohorts(g.targets, listed.where("section = 'parent'").select("target", "node").distinct(), g.attached, g.skeleton).select("target", "node", "n")),
+    "global_hosts": _simple(lambda g: view.global_hosts(g.skeleton, g.attached)),
+    "view_anchors": _viewed(lambda g, own, listed: view.anchors(listed)),
+    "context_text": _viewed(_contexts),
+    "parse_pulls": _parsed,
+    "pull_self": _pull("self"),
+    "pull_subtree": _pull("subtree"),
+    "pull_building": _pull("building"),
+    "pull_cluster": _pull("cluster"),
+    "pull_first_wins": _wins,
+    "pull_capped": lambda s, d: _per_target(pulls.capped(_resolved(s, d)[3])),
+    "verifier_apply": _verified,
+    "record_edges": _record_edges,
+    "record_summary": _record_summary,
+    "quality_summary": _quality,
+    "khop_1": _hops(1),
+    "khop_2": _hops(2),
+    "khop_3": _hops(3),
+    "same_class": _simple(lambda g: baselines.same_class_sizes(g.targets, g.nodes)),
+    "random_matched": _simple(lambda g: baselines.random_matched(g.targets, g.nodes, baselines.hops(g.targets, g.nodes, g.edges, 2).groupBy("target").agg(F.count("*").alias("n")))),
+    "ts_grid": lambda s, d: _rounded(_hourly(s, d), "value"),
+    "ts_missing_ratio": lambda s, d: _rounded(timeseries.missing_ratio(_hourly(s, d)), "missing_ratio"),
+    "ts_retained": lambda s, d: _rounded(timeseries.retained(_hourly(s, d), least_valid=100), "value"),
+    "ts_interpolate": lambda s, d: _rounded(timeseries.interpolated(_hourly(s, d)), "value"),
+    "ts_edge_fill": lambda s, d: _rounded(_filled(s, d), "value"),
+    "ts_outage_mask": lambda s, d: timeseries.outages(_coarse(_hourly(s, d)), stuck=3, zero=2, near_zero=0.5),
+    "ts_horizon_validity": lambda s, d: _rounded(timeseries.horizon_validity(timeseries.outages(_coarse(_hourly(s, d)), 3, 2, 0.5), 24), "invalid_share"),
+    "ts_split": lambda s, d: _readings(s, d).groupBy("sensor_id", timeseries.calendar_split(F.col("ts"), "2024-01-01", 1, 1, 1).alias("split")).agg(F.count("*").alias("n")),
+    "ts_windows": lambda s, d: timeseries.windows(_hourly(s, d), LOOKBACK, HORIZON, STRIDE),
+    "ts_availability": _simple(lambda g: g.nodes.where("has_ts").groupBy("brick_class", timeseries.availability(F.col("brick_class")).alias("availability")).agg(F.count("*").alias("n"))),
+    "ts_noise": lambda s, d: timeseries.noisy(_filled(s, d), 1.0),
+    "fc_persistence": lambda s, d: _rounded(_forecast("persistence")(s, d), "actual", "forecast"),
+    "fc_snaive": lambda s, d: _rounded(_forecast("seasonal")(s, d), "actual", "forecast"),
+    "fc_error": lambda s, d: _rounded(_errors(s, d), "nmae", "nmse"),
+    "fc_error_by_class": lambda s, d: _rounded(evaluate.errors_by(_errors(s, d), _readings(s, d).select("sensor_id").distinct().withColumn("kind", F.substring("sensor_id", 1, 1)), "kind"), "nmae", "nmse"),
+    "fc_gain": lambda s, d: _rounded(evaluate.gain(_errors(s, d), _errors(s, d, "seasonal")), "nmae_gain", "nmse_gain"),
+}
+
+_FRAG = lambda c: f"case when contains({c}, '#') then substr({c}, instr({c}, '#') + 1) else regexp_extract({c}, '[^/]*$') end"
+_INCLUDE = "|".join(lookup.INCLUDE)
+_EXCLUDE = "|".join(lookup.EXCLUDE)
+
+_BASE = f"""with recursive kn as (select *, row_number() over (order by node_id) node_ord from ({fixture.NODES})),
+ke as (select row_number() over (order by rel_canonical, src, dst, rel) edge_ord, src, rel, rel_canonical, dst from ({fixture.EDGES})),
+nodes as (select node_id, brick_class, coalesce(has_timeseries, false) has_ts, coalesce(is_forecast_target, false) ft, node_ord from kn),
+edges as (select edge_ord, src, rel_canonical rel, dst from ke),
+sub(class, superclass) as (values {_values(fixture.SUBCLASSES)}),
+ovr(brick_class, t) as (values {_values(taxonomy.OVERRIDES.items())}),
+prec(t, p) as (values {_values((t, i) for i, t in enumerate(taxonomy.TOP_TYPES))}),
+anc as (select class, class a from sub union select superclass, superclass from sub union select anc.class, sub.superclass from anc join sub on sub.class = anc.a),
+ont as (select class brick_class, min_by(t, p) t from anc join prec on a = t group by 1),
+cls as (select distinct brick_class from nodes where brick_class <> ''),
+types as (select brick_class, coalesce(ovr.t, ont.t, prec.t, '{taxonomy.FALLBACK}') top_type, coalesce(ovr.t, ont.t, prec.t) is not null resolved
+  from cls left join ovr using (brick_class) left join ont using (brick_class) left join prec on prec.t = cls.brick_class),
+sn as (select node_id, brick_class, top_type, node_ord from nodes join types using (brick_class) where top_type in ('Equipment', 'Location', 'Collection', 'External') and not has_ts),
+se as (select min(edge_ord) edge_ord, src, rel, dst from edges where rel in ('feeds', 'hasPart', 'isLocationOf') and src in (select node_id from sn) and dst in (select node_id from sn) group by 2, 3, 4),
+roots as (select node_id from sn where node_id not in (select dst from se)),
+pe as (select e.*, coalesce(a.has_ts, false) s_ts, coalesce(b.has_ts, false) d_ts from edges e left join nodes a on a.node_id = e.src left join nodes b on b.node_id = e.dst where rel in ('hasPoint', 'global_hasPoint')),
+att as (select parent, leaf, brick_class leaf_class, edge_ord from (select case when d_ts then src else dst end parent, case when d_ts then dst else src end leaf, min(edge_ord) edge_ord from pe where s_ts <> d_ts group by 1, 2) join nodes on node_id = leaf),
+clus as (select leaf, case when host is not null then 'node:' || host else 'pfx:' || case when contains(f, '.') then regexp_extract(f, '^(.*)[.][^.]*$', 1) else f end end cluster_key, leaf_class
+  from (select node_id leaf, brick_class leaf_class, {_FRAG('node_id')} f, (select min_by(parent, edge_ord) from att where att.leaf = node_id) host from nodes
+    where has_ts and node_id not in (select leaf from att where parent in (select node_id from sn)))),
+targets as (select node_id target, brick_class target_class, node_ord from nodes where ft and has_ts and regexp_matches(brick_class, '{_INCLUDE}') and not regexp_matches(brick_class, '{_EXCLUDE}')),
+hosts as (select target, parent node, edge_ord from targets join att on leaf = target where parent in (select node_id from sn)),
+flags as (select target, min_by(node, edge_ord) host, host is null orphan from targets left join hosts using (target) group by 1),
+upw as (select node_id s, node_id node, 0 h from sn union select upw.s, se.src, h + 1 from upw join se on se.dst = upw.node where h < 12),
+up as (select s, node, min(h) h from upw group by 1, 2),
+spine as (select target, up.node, min(h) h from hosts join up on up.s = hosts.node group by 1, 2),
+down as (select node_id s, node_id node from sn union select down.s, se.dst from down join se on se.src = down.node),
+par as (select dst host, rel, src parent, row_number() over (partition by dst order by edge_ord) branch from se),
+gh as (select node_id node from sn where node_id in (select parent from att) and (top_type in ('External', 'Collection') or (top_type = 'Location' and node_id in (select node_id from roots))
+  or node_id in (select dst from se where src in (select node_id from sn join roots using (node_id) where top_type = 'Location')))),
+"""
+_BASE_END = "one as (select 1 x) "
+
+
+def _q(text: str, extra: str = "") -> str:
+    return _BASE + extra + _BASE_END + text
+
+
+_NEIGHBOUR = "coalesce(brick_class, '?') brick_class, coalesce(has_ts, false) has_ts from ({0}) x left join nodes on nodes.node_id = x.neighbour"
+_LISTED = """shown as (select host, parent node, min(branch) own from par group by 1, 2),
+above as (select host, node, min(branch) branch, min_by(h, (branch, h)) h from par join up on up.s = parent where h > 0 group by 1, 2),
+ent as (select target, 0 a, 0 b, 0 h, '' c, 'host' section, '' rel, host node from flags where not orphan
+  union all select target, branch, 0, 0, '', 'parent', rel, parent from flags join par using (host)
+  union all select target, branch, 1, above.h, brick_class, 'up', '', above.node from flags join above using (host) left join shown using (host, node) join sn on sn.node_id = above.node where above.node <> host and (own is null or own > branch)
+  union all select target, 0, 0, 0, '', 'cluster', '', '__cluster__' from flags where orphan),
+listed as (select * from ent union all select target, 1073741824, 0, 0, '', 'global', '', gh.node from flags, gh where not exists (select 1 from ent where ent.target = flags.target and ent.node = gh.node)),
+"""
+_ASKED = """firstp as (select target, min_by(parent, branch) parent from flags join par using (host) group by 1),
+asked as (select target, 0 pull_ord, 'self' expand, leaf, leaf_class, '' host, a.edge_ord from flags join att a on a.parent = flags.host
+  union all select f.target, 0, 'cluster', m.leaf, m.leaf_class, m.leaf_class || '|' || m.leaf, 0 from flags f join clus c on c.leaf = f.target join clus m using (cluster_key) where orphan and m.leaf <> f.target
+  union all select target, 1, 'subtree', leaf, leaf_class, '', min(edge_ord) from firstp join targets using (target) join down on s = parent join att on att.parent = down.node and leaf_class = target_class group by target, leaf, leaf_class
+  union all select target, 2, 'building', leaf, leaf_class, parent, edge_ord from targets, att where leaf_class = 'Outside_Air_Temperature_Sensor'),
+win as (select target, leaf, leaf_class, min((pull_ord, host, edge_ord)) k, min(pull_ord) pull_ord from asked where leaf <> target group by 1, 2, 3),
+kept as (select target, leaf, leaf_class, pull_ord, row_number() over (partition by target order by k, leaf) ord from win),
+"""
+_PER = "select target, count(*) n_leaves, min(leaf) first_leaf, max(leaf) last_leaf from {0} group by 1"
+
+
+def _khop_sql(most: int) -> str:
+    both = "both_ways as (select src a, dst b from edges union select dst, src from edges),\n"
+    steps = ["hop0 as (select target, target node, 0 h from targets),\n"]
+    for k in range(1, most + 1):
+        seen = " union all ".join(f"select target, node from hop{j}" for j in range(k))
+        steps.append(f"hop{k} as (select n.target, n.node, {k} h from (select distinct target, b node from hop{k - 1} join both_ways on a = node) n anti join ({seen}) v on v.target = n.target and v.node = n.node),\n")
+    every = " union all ".join(f"select * from hop{k}" for k in range(1, most + 1))
+    return _q(f"select target, count(*) n_leaves, min(node) first_leaf, max(node) last_leaf, sum(h)::bigint sum_h from ({every}) join nodes on node_id = node where has_ts group by 1", both + "".join(steps))
+
 
+_TS = f"""with r as (select event_type sensor_id, epoch_us(ts) us, value from events),
+m as (select sensor_id, (us // {HOUR * 1_000_000})::bigint step, avg(value) v from r group by 1, 2),
+e as (select sensor_id, unnest(range(min(step), max(step) + 1)) step from m group by 1),
+g as (select sensor_id, step, v from e left join m using (sensor_id, step)),
+ip as (select *, last_value(case when v is not null then step end ignore nulls) over b ps, last_value(v ignore nulls) over b pv, first_value(case when v is not null then step end ignore nulls) over a qs, first_value(v ignore nulls) over a qv from g
+  window b as (partition by sensor_id order by step rows between unbounded preceding and 1 preceding), a as (partition by sensor_id order by step rows between 1 following and unbounded following)),
+i as (select sensor_id, step, coalesce(v, case when qs - ps - 1 <= 4 then pv + (qv - pv) * (step - ps) / (qs - ps) end) v from ip),
+ed as (select *, min(case when v is not null then step end) over w a, max(case when v is not null then step end) over w b from i window w as (partition by sensor_id)),
+f as (select x.sensor_id, x.step, coalesce(x.v, case when x.step < x.a and x.a - x.step <= 4 then h.v when x.step > x.b and x.step - x.b <= 4 then t.v end) v from ed x left join i h on h.sensor_id = x.sensor_id and h.step = x.a left join i t on t.sensor_id = x.sensor_id and t.step = x.b),
+c as (select sensor_id, step, floor(v / 100) v from g),
+o1 as (select *, sum(case when v is null or lag(v) is null or v <> lag(v) then 1 else 0 end) over (partition by sensor_id order by step) run from (select *, lag(v) over (partition by sensor_id order by step) lag from c) q(sensor_id, step, v, lag)),
+o2 as (select sensor_id, step, v, v is not null and count(*) over (partition by sensor_id, run) >= 3 stuck_flat, coalesce(abs(v) <= 0.5, false) low from o1),
+o3 as (select *, sum(case when lag(low) over (partition by sensor_id order by step) is not distinct from low then 0 else 1 end) over (partition by sensor_id order by step) run from o2),
+o as (select sensor_id, step, v, stuck_flat, low and count(*) over (partition by sensor_id, run) >= 2 drop_to_zero from o3),
+w as (select sensor_id, unnest(range(min(step) + {LOOKBACK}, max(step) - {HORIZON} + 2, {STRIDE})) origin from g group by 1 having max(step) - min(step) + 1 >= {LOOKBACK + HORIZON}),
+l as (select sensor_id, origin, unnest(range(1, {HORIZON} + 1)) lead from w),
+ac as (select l.*, f.v actual from l join f on f.sensor_id = l.sensor_id and f.step = origin + lead - 1),
+lastv as (select sensor_id, step, last_value(v ignore nulls) over (partition by sensor_id order by step rows between unbounded preceding and 1 preceding) v from f),
+fp as (select ac.*, lastv.v forecast from ac join lastv on lastv.sensor_id = ac.sensor_id and lastv.step = origin),
+fs as (select ac.*, f.v forecast from ac left join f on f.sensor_id = ac.sensor_id and f.step = origin + lead - 1 - ((lead - 1) // {DAY} + 1) * {DAY}),
+sd as (select sensor_id, stddev_pop(v) sd from f group by 1 having stddev_pop(v) > 0),
+ep as (select sensor_id, count(*) n, avg(abs(actual - forecast)) / any_value(sd) nmae, avg((actual - forecast) ** 2) / (any_value(sd) * any_value(sd)) nmse from fp join sd using (sensor_id) where actual is not null and forecast is not null group by 1),
+es as (select sensor_id, count(*) n, avg(abs(actual - forecast)) / any_value(sd) nmae, avg((actual - forecast) ** 2) / (any_value(sd) * any_value(sd)) nmse from fs join sd using (sensor_id) where actual is not null and forecast is not null group by 1)
+""".replace("case when lag(low) over (partition by sensor_id order by step) is not distinct from low then 0 else 1 end) over (partition by sensor_id order by step) run from o2", "case when pl is not distinct from low then 0 else 1 end) over (partition by sensor_id order by step) run from (select *, lag(low) over (partition by sensor_id order by step) pl from o2)").replace("case when v is null or lag(v) is null or v <> lag(v) then", "case when v is null or lag is null or v <> lag then")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "flagship": _q("select t.target, p.parent, count(*) - max(case when leaf = t.target then 1 else 0 end) n_peers from (select target, min_by(parent, branch) parent from flags join par using (host) where rel = 'feeds' group by 1) p join targets t using (target) join (select distinct s, leaf, leaf_class from down join att on att.parent = down.node) d on d.s = p.parent and d.leaf_class = t.target_class group by 1, 2 having n_peers > 0"),
+    "kg_node_types": _q("select brick_class, count(*) n, sum(has_ts::int)::bigint n_ts from nodes group by 1"),
+    "kg_edge_rels": _q("select rel, count(*) n from edges group by 1"),
+    "edge_inverses": _q("select rel, count(*) n from (select rel from edges union all select inv from edges join (values ('hasPoint', 'isPointOf'), ('hasPart', 'isPartOf'), ('feeds', 'isFedBy'), ('isLocationOf', 'hasLocation')) v(c, inv) on c = rel) group by 1"),
+    "uri_fragment": _q(f"select node_id, {_FRAG('node_id')} fragment from nodes"),
+    "uri_short": _q(f"select node_id, substr(regexp_extract({_FRAG('node_id')}, '[^.]*$'), 1, 14) short from nodes"),
+    "uri_dotted_prefix": _q(f"select node_id, case when contains(f, '.') then regexp_extract(f, '^(.*)[.][^.]*$', 1) else f end prefix from (select node_id, {_FRAG('node_id')} f from nodes)"),
+    "uri_resolve": _q(f"select {_FRAG('node_id')} name, min_by(node_id, node_ord) node_id from nodes group by 1"),
+    "relation_names": _q("select distinct rel, rel_canonical, case rel when 'isPointOf' then 'hasPoint' when 'isPartOf' then 'hasPart' when 'isFedBy' then 'feeds' when 'hasLocation' then 'isLocationOf' else rel end canonical, starts_with(rel_canonical, 'global_') is_global, regexp_replace(rel_canonical, '^global_', '') base from ke"),
+    "node_metadata": _q("select e.src node_id, coalesce(brick_class, '?') brick_class, coalesce(has_ts, false) has_ts from (select distinct src from edges) e left join nodes on nodes.node_id = e.src"),
+    "class_top_type": _q("select brick_class, top_type, resolved from types"),
+    "skeleton_nodes": _q("select node_id, brick_class, top_type from sn"),
+    "skeleton_edges": _q("select src, rel, dst from se"),
+    "skeleton_roots": _q("select node_id from roots"),
+    "skeleton_isolated": _q("select node_id from sn where node_id not in (select src from se union select dst from se)"),
+    "skeleton_summary": _q("select 'type' kind, top_type name, count(*) n from sn group by 2 union all select 'relation', rel, count(*) from se group by 2 union all select 'roots', 'all', count(*) from roots having count(*) > 0 union all select 'isolated', 'all', count(*) from sn where node_id not in (select src from se union select dst from se) having count(*) > 0"),
+    "skeleton_parents": _q("select dst node_id, rel, src parent from se"),
+    "skeleton_children": _q("select src node_id, rel, dst child from se"),
+    "forecast_targets": _q("select target, target_class from targets"),
+    "query_class": _q(f"select node_id, brick_class from nodes where brick_class = '{_CLASS}' and has_ts order by node_ord limit 30"),
+    "neighbors_typed": _q("select x.node_id, rel, direction, neighbour, " + _NEIGHBOUR.format("select node_id, rel, neighbour, min_by(direction, (edge_ord, direction)) direction from (select src node_id, rel, 'out' direction, dst neighbour, edge_ord from edges where rel in ('feeds', 'hasPart') union all select dst, rel, 'in', src, edge_ord from edges where rel in ('feeds', 'hasPart')) group by 1, 2, 3")),
+    "neighbors_inverse": _q("select x.node_id, rel, direction, neighbour, " + _NEIGHBOUR.format("select distinct dst node_id, inv rel, 'in' direction, src neighbour from edges join (values ('hasPart', 'isPartOf'), ('feeds', 'isFedBy'), ('isLocationOf', 'hasLocation')) v(c, inv) on c = rel")),
+    "neighbors_global": _q("select x.node_id, rel, direction, neighbour, " + _NEIGHBOUR.format("select src node_id, rel, 'out' direction, dst neighbour from edges where starts_with(rel, 'global_') union select dst, rel, 'in', src from edges where starts_with(rel, 'global_')")),
+    "attach_points": _q("select parent, leaf, leaf_class from att"),
+    "host_histogram": _q("select parent, leaf_class, count(*) n from att group by 1, 2"),
+    "hosts_of_class": _q("select distinct leaf_class, parent from att"),
+    "orphan_leaves": _q("select node_id leaf from nodes where has_ts and node_id not in (select leaf from att)"),
+    "skeleton_orphans": _q("select leaf from clus"),
+    "cluster_members": _q("select leaf, cluster_key, leaf_class from clus"),
+    "cluster_peers": _q("select a.leaf, b.leaf peer, b.leaf_class peer_class from clus a join clus b using (cluster_key) where a.leaf <> b.leaf"),
+    "cluster_histogram": _q("select a.leaf, b.leaf_class peer_class, count(*) n from clus a join clus b using (cluster_key) where a.leaf <> b.leaf group by 1, 2"),
+    "up_cone_nodes": _q("select s start, node, h from up join sn on node_id = s where brick_class = 'HVAC_Zone'"),
+    "up_cone_edges": _q("select distinct s start, src, rel, dst from up join sn on node_id = s join se on se.dst = up.node where brick_class = 'HVAC_Zone' and h < 3"),
+    "subtree_nodes": _q("select s start, node from down join sn on node_id = s where brick_class in ('Building', 'Floor', 'AHU')"),
+    "primary_path": _q("select start, max_by(array_to_string(path, '>'), len(path)) path from walk group by 1", "best as (select se.*, case rel when 'feeds' then 0 when 'hasPart' then 1 when 'isLocationOf' then 2 else 9 end p from se),\nwalk as (select node_id start, [node_id] path from sn where brick_class = 'HVAC_Zone' union all select start, list_append(path, nxt) from (select start, path, min_by(src, (p, rel, src)) nxt from walk join best on dst = path[-1] where not list_contains(path, src) and len(path) <= 12 and path[-1] not in (select node_id from roots) group by 1, 2)),\n"),
+    "reaches_root": _q("select s start, min(node) root from up join sn on node_id = s where brick_class = 'HVAC_Zone' and node in (select node_id from roots) group by 1"),
+    "spine_roots": _q("select target start, node root from spine where node in (select node_id from roots)"),
+    "ancestry_order": _q("select target start, node, row_number() over (partition by target order by h, brick_class, node)::int place from spine join sn on node_id = node"),
+    "points_under_self": _q("select parent start, leaf, leaf_class from att join sn on node_id = parent where sn.brick_class in ('HVAC_Zone', 'Building', 'Unknown_Ext')"),
+    "points_under_subtree": _q("select s start, leaf_class, count(distinct leaf) n from down join sn on node_id = s join att on att.parent = down.node where sn.brick_class = 'Floor' group by 1, 2"),
+    "cohort_size": _q("select t.target, p.parent node, count(*) - max(case when leaf = t.target then 1 else 0 end) n from (select distinct target, parent from flags join par using (host)) p join targets t using (target) join (select distinct s, leaf, leaf_class from down join att on att.parent = down.node) d on d.s = p.parent and d.leaf_class = t.target_class group by 1, 2 having n > 0"),
+    "global_hosts": _q("select node from gh"),
+    "view_anchors": _q("select target, 'A' || row_number() over (partition by target order by k) alias, node from (select target, node, min(o) k from (select *, row_number() over (partition by target order by a, b, h, c, node, rel) o from listed) group by 1, 2)", _LISTED),
+    "pull_self": _q(_PER.format("(select target, leaf from flags join att on parent = host where leaf <> target)")),
+    "pull_subtree": _q(_PER.format(f"(select distinct target, leaf from flags join par using (host) join down on s = par.parent join att on att.parent = down.node where par.rel = 'hasPart' and leaf_class = '{_CLASS}' and leaf <> target)")),
+    "pull_building": _q(_PER.format("(select distinct target, leaf from targets, att where leaf_class = 'Outside_Air_Temperature_Sensor' and leaf <> target)")),
+    "pull_cluster": _q(_PER.format("(select f.target, m.leaf from flags f join clus c on c.leaf = f.target join clus m using (cluster_key) where f.orphan and m.leaf <> f.target)")),
+    "pull_first_wins": _q("select p.target, p.pull_ord, p.expand, (select count(*) from kept k where k.target = p.target and k.pull_ord = p.pull_ord) n_resolved from (select target, 0 pull_ord, case when orphan then 'cluster' else 'self' end expand from flags union all select target, 1, 'subtree' from firstp union all select target, 2, 'building' from targets) p", _ASKED),
+    "pull_capped": _q(_PER.format("(select * from kept where ord <= 60)"), _ASKED),
+    "verifier_apply": _q(_PER.format("(select target, leaf from kept where leaf_class <> 'CO2_Sensor' union select target, 'b/x#oat0' from targets)"), _ASKED),
+    "record_edges": _q("select distinct sp.target, src, rel, dst from hosts join up on up.s = hosts.node join se on se.dst = up.node join spine sp on sp.target = hosts.target and sp.node = up.node where up.h < 12 union all select target, min_by(parent, edge_ord), 'hasPoint', leaf from (select k.target, k.leaf, att.parent, att.edge_ord from kept k join att using (leaf) where ord <= 60 and exists (select 1 from spine where spine.target = k.target and spine.node = att.parent)) group by target, leaf", _ASKED),
+    "quality_summary": _q("select count(*) n_targets, min(n) min_leaves, list_sort(list(n))[(count(*) // 2) + 1] median_leaves, round(avg(n), 6) mean_leaves, max(n) max_leaves, sum((n >= 60)::int)::bigint cap_hits, 0::bigint fallback_used, sum(orphan::int)::bigint orphan from (select f.target, f.orphan, count(k.leaf) n from flags f left join (select * from kept where ord <= 60) k using (target) group by 1, 2)", _ASKED),
+    "record_summary": _q("select f.target, coalesce(l.n, 0)::int n_leaves, (coalesce(sp.n, 0) + 1 + coalesce(l.n, 0))::int n_nodes, (coalesce(ed.n, 0) + coalesce(pt.n, 0))::int n_edges, coalesce(sp.n, 0)::int spine_size, f.orphan, coalesce(rt.r, '') roots, coalesce(l.pre, 0)::bigint n_pre_cap from flags f left join (select target, count(*) filter (where ord <= 60) n, count(*) pre from kept group by 1) l using (target) left join (select target, count(*) n from spine group by 1) sp using (target) left join (select target, count(*) n from (select distinct hosts.target, src, rel, dst from hosts join up on up.s = hosts.node join se on se.dst = up.node where up.h < 12) group by 1) ed using (target) left join (select target, count(distinct leaf) n from kept k join att using (leaf) where ord <= 60 and exists (select 1 from spine where spine.target = k.target and spine.node = att.parent) group by 1) pt using (target) left join (select target, string_agg(node, ',' order by node) r from spine where node in (select node_id from roots) group by 1) rt using (target)", _ASKED),
+    "khop_1": _khop_sql(1),
+    "khop_2": _khop_sql(2),
+    "khop_3": _khop_sql(3),
+    "same_class": _q("select target, count(*) - 1 n from targets join nodes on brick_class = target_class where has_ts group by 1"),
+    "ts_grid": _TS + "select sensor_id, step, round(v, 6) as value from g",
+    "ts_missing_ratio": _TS + "select sensor_id, count(*) n_steps, count(v) n_valid, round(avg((v is null)::int), 6) missing_ratio from g group by 1",
+    "ts_retained": _TS + "select sensor_id, step, round(v, 6) as value from g where sensor_id in (select sensor_id from g group by 1 having avg((v is null)::int) <= 0.3 and count(v) >= 100)",
+    "ts_interpolate": _TS + "select sensor_id, step, round(v, 6) as value from i",
+    "ts_edge_fill": _TS + "select sensor_id, step, round(v, 6) as value from f",
+    "ts_outage_mask": _TS + "select sensor_id, step, v as value, stuck_flat, drop_to_zero, stuck_flat or drop_to_zero outage_mask from o",
+    "ts_horizon_validity": _TS + "select sensor_id, step, round(x, 6) invalid_share, x <= 0.5 usable from (select sensor_id, step, (sum((v is null or stuck_flat or drop_to_zero)::int) over k + 24 - count(*) over k) / 24.0::double x from o window k as (partition by sensor_id order by step rows between current row and 23 following))",
+    "ts_split": "select event_type sensor_id, case when m < 0 then null when m < 1 then 'train' when m < 2 then 'val' when m < 3 then 'test' end as split, count(*) n from (select *, (year(ts) - 2024) * 12 + month(ts) - 1 m from events) group by 1, 2",
+    "ts_windows": _TS + f"select sensor_id, origin, origin - {LOOKBACK} first_step, origin + {HORIZON} - 1 last_step from w",
+    "ts_availability": _q("select brick_class, case when regexp_matches(brick_class, 'Outside_Air|Outdoor_Air|Weather|Solar|Schedule|Calendar|Occupancy_Schedule') then 'future-known' else 'past-known' end availability, count(*) n from nodes where has_ts group by 1, 2"),
+    "fc_persistence": _TS + "select sensor_id, origin, lead, round(actual, 6) actual, round(forecast, 6) forecast from fp",
+    "fc_snaive": _TS + "select sensor_id, origin, lead, round(actual, 6) actual, round(forecast, 6) forecast from fs",
+    "fc_error": _TS + "select sensor_id, n, round(nmae, 6) nmae, round(nmse, 6) nmse from ep",
+    "fc_error_by_class": _TS + "select substr(sensor_id, 1, 1) kind, count(*) n_series, round(avg(nmae), 6) nmae, round(avg(nmse), 6) nmse from ep group by 1",
+    "fc_gain": _TS + "select ep.sensor_id, round((es.nmae - ep.nmae) / es.nmae, 6) nmae_gain, round((es.nmse - ep.nmse) / es.nmse, 6) nmse_gain from ep join es using (sensor_id)",
+}
