@@ -100,11 +100,11 @@ def find(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> D
     most = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(_REACH + 1) - span), lambda s: F.length(F.replace(F.col("bits").substr(s, span), F.lit("0"), F.lit("")))))
     allowed = F.when(F.col("size") >= WINDOW, 2).when(F.col("size") >= 8, 1).otherwise(0)
     found = hits.withColumn("best", most).where(F.col("best") >= span - allowed)
-    found = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.max("best").alias("best"))
-    out = docs.withColumn("_key", digest).join(found, F.col("_key") == F.col("key"), "left")
+    found = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("_ids"), F.max("best").alias("_best"))
+    out = docs.withColumn("_key", digest).join(found.withColumnRenamed("key", "_found"), F.col("_key") == F.col("_found"), "left")
     return out.select(
-        *[f"`{c}`" for c in docs.columns], F.col("ids").isNotNull().alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce("best", F.lit(0)).cast("long").alias("best_match"),
+        *[f"`{c}`" for c in docs.columns], F.col("_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.array_join(F.col("_ids").cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce("_best", F.lit(0)).cast("long").alias("best_match"),
     )
 
 

@@ -95,6 +95,8 @@ CUES = (
     ("version", "v", "isbn", "order", "invoice", "no", "id", "date", "section", "chapter", "page", "pages", "price", "usd", "eur", "ref", "serial", "build", "release", "figure", "year"),
 )
 _WORDS = re.compile(r"[A-Za-z-]+")
+#: Common last parts of an address.
+ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "it", "ch", "nl"))
 
 
 def candidates(text: str) -> list[Span]:
@@ -120,7 +122,7 @@ def features(text: str, span: Span) -> list[float]:
         KINDS.index(kind), len(own), len(digits), sum(c.isalpha() for c in own), len(rest), len(set(rest)), len(groups), *sizes, max((int(g[:9]) for g in groups), default=0),
         luhn(digits) if 12 <= len(digits) <= 19 else -1, rest.count("("), rest.count("."), rest.count("-"), rest.count(" "), rest.count(":"), rest.count("/"), rest.count("["),
         own.startswith("+"), own.startswith("00"), own.startswith("0"), own.startswith("("), 1900 <= int(groups[0][:4]) <= 2100 if groups and sizes[0] == 4 else 0,
-        *(any(w in cue for w in before) for cue in CUES), side(text[start - 1 : start]), side(text[end : end + 1]), "dot" in own.lower(), own[-3:].isalpha(),
+        *(any(w in cue for w in before) for cue in CUES), side(text[start - 1 : start]), side(text[end : end + 1]), "dot" in own.lower(), re.split(r"[^A-Za-z]", own)[-1].lower() in ENDINGS,
     ]
 
 
@@ -141,7 +143,7 @@ def _sentences(n: int, seed: int) -> Iterator[tuple[str, set[Span]]]:
 
     def mail() -> str:
         a, d = r.choice(((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", " (dot) "), (" AT ", " DOT "), ("{at}", ".")))
-        return f"{word()}{r.choice(('.', '', '_'))}{word()}{r.choice(('', num(2)))}{a}{word()}{d}{r.choice(('com', 'org', 'net', 'de', 'fr', 'edu'))}"
+        return f"{word()}{r.choice(('', '', '.' + word(), '_' + word(), num(2)))}{a}{word()}{d}{r.choice(('com', 'org', 'net', 'de', 'fr', 'edu'))}"
 
     def ip() -> str:
         if r.random() < 0.5:
