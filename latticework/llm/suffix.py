@@ -27,8 +27,6 @@ from .common import mix, stored, texts
 
 LENGTH = 400
 GRAM = 100
-#: Broadcast at most so many rows and bytes, else join by a shuffle.
-MAX_ROWS, MAX_BYTES = 200_000, 48_000_000
 #: Bytes of regions indexed together, unless one gram has more; bytes hashed together.
 SHARE = 2_000_000
 _SEGMENT = 1 << 19
@@ -181,13 +179,6 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[cut, 0], far[np.append(cut[1:], len(spans)) - 1]], 1)
 
 
-def _modest(df: DataFrame, blob: str) -> DataFrame:
-    """df, to be broadcast if its rows and bytes are few."""
-    if df.limit(MAX_ROWS + 1).count() <= MAX_ROWS and (df.agg(F.sum(F.length(blob))).first()[0] or 0) <= MAX_BYTES:
-        return F.broadcast(df)
-    return df
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -355,13 +346,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bo
     placed = long.select("key", "text").mapInArrow(place, "bucket int, blob binary").repartition(parts, "bucket")
     chosen = stored(placed.mapInArrow(choose, "key long, fetch binary, content long, starts binary"), "chosen")
     fetch = chosen.where("fetch is not null").select("key", "fetch")
-    cut = long.select("key", "text").join(_modest(fetch, "fetch"), "key").select("key", "text", "fetch")
+    cut = long.select("key", "text").join(fetch, "key").select("key", "text", "fetch")
     cut = cut.mapInArrow(cut_out, "bucket int, gram long, content long, start long, key long, region binary").repartition(parts, "bucket")
     judged = stored(cut.mapInArrow(judge, "content long, spans binary"), "judged")
     where = chosen.where("starts is not null").select("key", "content", "starts").join(judged, "content").select("key", "starts", "spans")
     spans = where.mapInArrow(spread, "key long, spans binary").groupBy("key").agg(F.array_join(F.transform(F.collect_list("spans"), lambda x: F.hex(x)), "").alias("spans"))
     copies = long.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("twice"))
     marks = stored(spans.select("key", F.unhex("spans").alias("spans")).join(copies, "key", "full_outer"), "marks")
-    both = source.join(_modest(marks, "spans"), "key", "left").select("doc_id", "text", "spans", F.coalesce("twice", F.lit(False)).alias("twice"))
+    both = source.join(marks, "key", "left").select("doc_id", "text", "spans", F.coalesce("twice", F.lit(False)).alias("twice"))
     return both.mapInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
