@@ -2,10 +2,11 @@
 
 Equal sets are one from the start. Shingles have a fixed order: by hash, those common to many sets last. Sets x and y that
 link share one of the first |x| - ceil(0.75 |x|) + 1 shingles of x, and likewise of y, so sets meet in the tiles of those
-shingles. Within a tile, sets stand in order of size, and only sizes within 3/4 of each other (a band) are paired. A pair is
-then held against the bitmaps of its sets, hashed into at least two bits a shingle: x has at least as many shingles that y
-lacks as x's bitmap has bits that y's lacks, which bounds the overlap from above. What is left meets the exact
-intersection of the sorted arrays.
+shingles. Within a tile, sets stand in order of size, and only sizes within 3/4 of each other (a band) are paired, if enough
+shingles are left from the shared one on, which a link's first shared shingle always has. A pair is then held against the
+bitmaps of its sets, hashed into at least eight bits a shingle: x has at least as many shingles that y lacks as x's bitmap
+has bits that y's lacks, which bounds the overlap from above. (In tiles of LONG and more sets this is done on the spot, so
+that a tile gives few pairs.) What is left meets the exact intersection of the sorted arrays.
 
 All pairs of a tile are too many where near copies abound. So, first, only neighbours in a tile are paired; their links give
 components. Then sets of a tile are paired only across components: no link is lost, as any two sets that are not
@@ -28,11 +29,14 @@ from .graph import components
 WORDS = 5
 #: A shingle counts as common from so many distinct sets in one partition, and so many over all; at most MAX_COMMON are ordered last.
 LOCAL_COMMON, COMMON, MAX_COMMON = 4, 16, 200_000
+#: Tiles of so many sets get the bitmaps.
+LONG = 16
 #: More keys than this are joined by a shuffle instead of a broadcast.
 MAX_KEYS = 500_000
-_TOKENS = 8_000_000
-_CACHE = 2_000_000
-_PAIRS = 4_000_000
+_TOKENS = 3_000_000
+_CACHE = 200_000
+_PAIRS = 500_000
+_PLACE = 24
 
 
 class _Hashes(dict):
@@ -66,8 +70,8 @@ def set_key(found: np.ndarray) -> int:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """One bit for each hash, in 64 to 8192 bits, at least two a shingle where that suffices."""
-    bits = 1 << min(13, max(6, int(2 * len(found) - 1).bit_length()))
+    """One bit for each hash, in 64 to 16384 bits, at least eight a shingle where that suffices."""
+    bits = 1 << min(14, max(6, int(8 * len(found) - 1).bit_length()))
     flags = np.zeros(bits, bool)
     flags[(found & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
@@ -124,33 +128,64 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _records(blobs) -> np.ndarray:
-    """Rows (shingle, key, size)."""
+    """Rows (shingle, key, size and position of the shingle in the set's order)."""
     return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 3)
 
 
-def _tile_pairs(rows: np.ndarray, ends: np.ndarray, component: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of pairs within runs (rows sorted by shingle and size; ends: of each row's run): neighbours, or, with
-    components, all whose components differ; sizes in band. Long runs come in pieces."""
-    size = rows[:, 2].astype(np.int64)
-    at = np.arange(len(rows))
-    if component is None:
-        near = at[:-1][(ends[:-1] > at[1:]) & (4 * size[:-1] >= 3 * size[1:])]
-        yield near, near + 1
-        return
+def _may_link(place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
+    """Whether sizes are in band and enough shingles are left, if this one is the first in common."""
+    n_a, n_b = place_a >> _PLACE, place_b >> _PLACE
+    left = np.minimum(n_a - (place_a & ((1 << _PLACE) - 1)), n_b - (place_b & ((1 << _PLACE) - 1)))
+    return (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)) & (7 * left >= 3 * (n_a + n_b))
+
+
+def _run_pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of row numbers within runs (ends: of each row's run), _PAIRS or so at a time."""
+    at = np.arange(len(ends))
     many = ends - at - 1
-    begin = 0
     total = np.cumsum(many)
-    while begin < len(rows):
+    begin = 0
+    while begin < len(ends):
         stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
         counts = many[begin:stop]
         if counts.sum():
             left = np.repeat(at[begin:stop], counts)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
-            ok = (component[left] != component[right]) & (4 * size[left] >= 3 * size[right])
-            yield left[ok], right[ok]
+            yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
         begin = stop
 
 
+class _Bitmaps:
+    """Bitmaps of a tile's sets, as matrices folded to each width."""
+
+    def __init__(self, maps: list[bytes], sizes: np.ndarray):
+        self.maps, self.sizes = maps, sizes
+        self.widths = np.array([len(m) for m in maps])
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.folded:
+            rows = np.zeros((len(self.maps), width), np.uint8)
+            for i in np.flatnonzero(self.widths >= width):
+                rows[i] = np.bitwise_or.reduce(np.frombuffer(self.maps[i], np.uint8).reshape(-1, width), 0)
+            rows = rows.view(np.uint64)
+            self.folded[width] = rows, np.bitwise_count(rows).sum(1, dtype=np.int64)
+        return self.folded[width]
+
+    def may_link(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(left), bool)
+        width = np.minimum(self.widths[left], self.widths[right])
+        for w in np.unique(width):
+            rows, ones = self._at(int(w))
+            own = np.flatnonzero(width == w)
+            for at in range(0, len(own), 1 << 14):
+                part = own[at : at + (1 << 14)]
+                a, b = left[part], right[part]
+                both = np.bitwise_count(rows[a] & rows[b]).sum(1, dtype=np.int64)
+                most = both + np.minimum(self.sizes[a] - ones[a], self.sizes[b] - ones[b])
+                out[part] = 7 * most >= 3 * (self.sizes[a] + self.sizes[b])
+        return out
+
+
 def _unique_pairs(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     a, b = rows[left, 1].astype(np.int64), rows[right, 1].astype(np.int64)
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
@@ -214,17 +249,18 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
                     if places.any():
                         found = found[np.argsort(places, kind="stable")]
                 own = np.empty((n - -(-3 * n // 4) + 1, 3), np.uint64)
-                own[:, 0], own[:, 1], own[:, 2] = found[: len(own)], np.int64(key).astype(np.uint64), n
+                own[:, 0], own[:, 1], own[:, 2] = found[: len(own)], np.int64(key).astype(np.uint64), (n << _PLACE) + np.arange(len(own))
                 held.append(own)
                 size += len(own)
-            if size > _TOKENS // 4:
+            if size > _TOKENS // 3:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a partition's buckets: pairs of neighbours as (a, b), and the rows of shared shingles as (shingle, a, n)."""
+        """Of a partition's buckets: pairs of neighbours as (a, b), and the rows of shared shingles as (shingle, a, place, run)."""
+        names = ["shingle", "a", "b", "place", "run"]
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -235,15 +271,16 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
             every = every[np.concatenate([[True], (every[1:] != every[:-1]).any(1)])]  # equal sets from several partitions
             starts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0]]))
             many = np.diff(np.append(starts, len(every)))
-            every, ends = every[np.repeat(many > 1, many)], np.repeat(np.cumsum(many[many > 1]), many[many > 1])
-            for left, right in _tile_pairs(every, ends, None):
-                p = _unique_pairs(every, left, right)
-                nothing = pa.nulls(len(p), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, *_pair_batch(p).columns, nothing], ["shingle", "a", "b", "n"])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in every[:, :2].T), pa.nulls(len(every), pa.int64()), pa.array(every[:, 2].astype(np.int64))], ["shingle", "a", "b", "n"])
+            every, run = every[np.repeat(many > 1, many)], np.repeat(many[many > 1], many[many > 1])
+            place = every[:, 2].astype(np.int64)
+            near = np.flatnonzero((every[1:, 0] == every[:-1, 0]) & _may_link(place[:-1], place[1:]))
+            p = _unique_pairs(every, near, near + 1)
+            nothing = pa.nulls(len(p), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, *_pair_batch(p).columns, nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in every[:, :2].T), pa.nulls(len(every), pa.int64()), pa.array(place), pa.array(run)], names)
 
     dealt = docs.select(F.col("text").cast("string")).mapInArrow(prefixes, "bucket int, blob binary").repartition(parts, "bucket")
-    tiles = stored(dealt.mapInArrow(neighbours, "shingle long, a long, b long, n long"), "tiles")
+    tiles = stored(dealt.mapInArrow(neighbours, "shingle long, a long, b long, place long, run long"), "tiles")
     sets = stored(rows.where("n > 0").groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "sets")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,19 +317,35 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
     part = components(sure)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.stack([c.to_numpy() for c in batch.columns], 1) for batch in batches]
-        every = np.concatenate([*parts, np.zeros((0, 4), np.int64)])
-        every = every[np.lexsort((every[:, 1], every[:, 2], every[:, 0]))]
-        starts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0]])) if len(every) else np.zeros(0, np.int64)
-        many = np.diff(np.append(starts, len(every)))
-        mixed = (np.minimum.reduceat(every[:, 3], starts) != np.maximum.reduceat(every[:, 3], starts)) if len(every) else np.zeros(0, bool)
-        every, ends = every[np.repeat(mixed, many)], np.repeat(np.cumsum(many[mixed]), many[mixed])
-        for left, right in _tile_pairs(every, ends, every[:, 3]):
-            yield _pair_batch(_unique_pairs(every, left, right))
-
-    held = tiles.where("shingle is not null").select("shingle", "a", "n")
-    placed = held.join(part.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "n", F.coalesce("component", "a").alias("component"))
-    others = placed.repartition(parts, "shingle").mapInArrow(across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+        """(shingle, a, place, component, bitmap) -> pairs across components; bitmap: in long tiles only."""
+        table = pa.Table.from_batches(list(batches), pa.schema([("shingle", pa.int64()), ("a", pa.int64()), ("place", pa.int64()), ("component", pa.int64()), ("bitmap", pa.binary())]))
+        order = np.lexsort([table.column(i).to_numpy() for i in (1, 2, 0)])
+        rows = np.stack([table.column(i).to_numpy()[order] for i in range(4)], 1)
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
+        many = np.diff(np.append(starts, len(rows)))
+        mixed = np.minimum.reduceat(rows[:, 3], starts) != np.maximum.reduceat(rows[:, 3], starts) if len(rows) else np.zeros(0, bool)
+        maps = table.column(4).combine_chunks().take(pa.array(order)) if len(rows) else table.column(4).combine_chunks()
+        bare = np.repeat(mixed, many) & maps.is_null().to_numpy(zero_copy_only=False)
+        some = rows[bare]
+        ends = np.searchsorted(some[:, 0], some[:, 0], "right")
+        for left, right in _run_pairs(ends):
+            ok = (some[left, 3] != some[right, 3]) & _may_link(some[left, 2], some[right, 2])
+            yield _pair_batch(_unique_pairs(some, left[ok], right[ok]))
+        for at, size in zip(starts[mixed], many[mixed], strict=True):
+            if not maps[int(at)].is_valid:
+                continue
+            tile = rows[at : at + size]
+            held = _Bitmaps(maps.slice(int(at), int(size)).to_pylist(), tile[:, 2] >> _PLACE)
+            for left, right in _run_pairs(np.full(size, size)):
+                ok = (tile[left, 3] != tile[right, 3]) & _may_link(tile[left, 2], tile[right, 2])
+                left, right = left[ok], right[ok]
+                ok = held.may_link(left, right)
+                yield _pair_batch(_unique_pairs(tile, left[ok], right[ok]))
+
+    held = tiles.where("shingle is not null").join(part.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "place", F.coalesce("component", "a").alias("component"), "run")
+    short = held.where(F.col("run") < LONG).select("shingle", "a", "place", "component", F.lit(None).cast("binary").alias("bitmap"))
+    long = held.where(F.col("run") >= LONG).join(sets.select(F.col("key").alias("a"), "bitmap"), "a").select("shingle", "a", "place", "component", "bitmap")
+    others = short.union(long).repartition(parts, "shingle").mapInArrow(across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = links(stored(others, "pairs"))
     whole = components(sure.union(more))
     least = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")).join(whole.withColumnRenamed("node", "key"), "key", "left")
