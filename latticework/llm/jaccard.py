@@ -9,8 +9,9 @@ has bits that y's lacks, which bounds the overlap from above. (In tiles of LONG
 that a tile gives few pairs.) What is left meets the exact intersection of the sorted arrays.
 
 All pairs of a tile are too many where near copies abound. So, first, only neighbours in a tile are paired; their links give
-components. Then sets of a tile are paired only across components: no link is lost, as any two sets that are not
-compared are already joined.
+components. Then each set of a tile is paired with the next one of another component, which joins most of what belongs
+together, at no more pairs than rows. Last, sets of a tile are paired only across components: no link is lost, as any two
+sets that are not compared are already joined.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MAX_KEYS = 500_000
 _TOKENS = 3_000_000
 _CACHE = 200_000
 _PAIRS = 500_000
+#: Of the next other component in a tile, so many sets are tried until one may link.
+_NEXT = 4
 _PLACE = 24
 
 
@@ -154,6 +157,24 @@ def _run_pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         begin = stop
 
 
+def _next_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (shingle, key, place, component) in the order of shingle and place: each row's number and that of the first row
+    of the tile's next other component that may link, where there is one."""
+    change = np.flatnonzero((rows[1:, [0, 3]] != rows[:-1, [0, 3]]).any(1)) + 1
+    at = np.arange(len(rows))
+    begin = np.append(change, len(rows))[np.searchsorted(change, at, "right")]
+    left, right = [], []
+    for step in range(_NEXT):
+        some = begin + step < len(rows)
+        at, begin = at[some], begin[some]
+        to = begin + step
+        ok = (rows[at, 0] == rows[to, 0]) & (rows[at, 3] != rows[to, 3]) & _may_link(rows[at, 2], rows[to, 2])
+        left.append(at[ok])
+        right.append(to[ok])
+        at, begin = at[~ok], begin[~ok]
+    return np.concatenate(left), np.concatenate(right)
+
+
 class _Bitmaps:
     """Bitmaps of a tile's sets, as matrices folded to each width."""
 
@@ -342,12 +363,29 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
                 ok = held.may_link(left, right)
                 yield _pair_batch(_unique_pairs(tile, left[ok], right[ok]))
 
-    held = tiles.where("shingle is not null").join(part.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "place", F.coalesce("component", "a").alias("component"), "run")
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shingle, a, place, component) -> pairs of sets with the next of another component."""
+        table = pa.Table.from_batches(list(batches), pa.schema([("shingle", pa.int64()), ("a", pa.int64()), ("place", pa.int64()), ("component", pa.int64())]))
+        if len(table):
+            order = np.lexsort([table.column(i).to_numpy() for i in (1, 2, 0)])
+            tile = np.stack([table.column(i).to_numpy()[order] for i in range(4)], 1)
+            yield _pair_batch(_unique_pairs(tile, *_next_pairs(tile)))
+
+    def grouped(part: DataFrame) -> DataFrame:
+        """The tiles' rows with their component so far."""
+        return tiles.where("shingle is not null").join(part.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "place", F.coalesce("component", "a").alias("component"), "run")
+
+    def joined(part: DataFrame, more: DataFrame) -> DataFrame:
+        return components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+    dealt = grouped(part).drop("run").repartition(parts, "shingle")
+    second = stored(dealt.mapInArrow(beside, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    part = joined(part, links(second))
+    held = grouped(part)
     short = held.where(F.col("run") < LONG).select("shingle", "a", "place", "component", F.lit(None).cast("binary").alias("bitmap"))
     long = held.where(F.col("run") >= LONG).join(sets.select(F.col("key").alias("a"), "bitmap"), "a").select("shingle", "a", "place", "component", "bitmap")
-    others = short.union(long).repartition(parts, "shingle").mapInArrow(across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = links(stored(others, "pairs"))
-    whole = components(sure.union(more))
+    others = short.union(long).repartition(parts, "shingle").mapInArrow(across, "a long, b long").distinct().join(first.union(second), ["a", "b"], "left_anti")
+    whole = joined(part, links(stored(others, "pairs")))
     least = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")).join(whole.withColumnRenamed("node", "key"), "key", "left")
     least = least.select("key", "least", F.coalesce("component", "key").alias("component"))
     names = least.groupBy("component").agg(F.min("least").alias("best"))
