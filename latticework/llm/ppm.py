@@ -7,23 +7,24 @@ as PPM does: in a context with t occurrences and d different successors, a seen
 n / (t + d) and the escape d / (t + d) (method C); after an escape, the bytes of the longer context are
 excluded from the shorter one's counts; below order 0, the bytes left share the rest evenly.
 
-The model is static, so that a text's score does not depend on the order of rows, tasks or retries; for that
-reason the probabilities of all bytes are worked out once for each context and a text costs one look-up a byte
-and order.
+The model is static, so that a text's score does not depend on the order of rows, tasks or retries, and a byte's
+probability depends on the ORDER bytes before it and itself alone: its gram. So every gram of the texts is rated once.
 
-Size: order 2 and less hold at most 2^24 counts. Each longer order keeps the max_contexts commonest contexts (a
-parameter of the model's size; other contexts start at a shorter order), so that what is broadcast has a fixed bound.
+Size: all counted contexts are kept, whatever their number, and no process holds them all. Each block of texts (a partition
+as read) lists its own distinct grams with their training counts; the sums over the blocks are dealt out by the last two
+bytes of the context, so that a share holds all counts of order 2 and more that its grams need (order 1 and 0 are at most
+2^16 counts and are sent to all); the rated grams are joined back to the blocks that hold them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ from .common import LOWER, stored, texts, utf8
 
 MARK = 0xFF
 ORDER = 4
-MAX_CONTEXTS = 65_536
 MAX_FREQUENT = 200_000
+#: Grams of one share, about.
+SHARE = 500_000
 _FLUSH = 1_000_000
 _CHUNK = 1 << 21
 
@@ -61,164 +63,174 @@ def _across(starts: np.ndarray) -> np.ndarray:
     return (starts[1:, None] - np.arange(1, ORDER + 1)).reshape(-1)
 
 
-def _keys(seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each predicted byte, the ORDER bytes before it and it, as one number."""
-    keys = np.zeros(len(seq) - ORDER, np.uint64)
+def _windows(seq: np.ndarray) -> np.ndarray:
+    """The ORDER bytes before each byte from ORDER on and it, as one number."""
+    keys = np.zeros(len(seq) - ORDER, np.int64)
     for j in range(ORDER + 1):
-        keys = (keys << np.uint64(8)) | seq[j : len(seq) - ORDER + j]
-    keep = np.ones(len(keys), bool)
-    keep[_across(starts)] = False
-    return keys[keep]
+        keys <<= 8
+        keys |= seq[j : len(seq) - ORDER + j]
+    return keys
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, sorted, with the sum of its n."""
+    if not len(keys):
+        return keys.astype(np.int64), n.astype(np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n, at)
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n): counts of strings of ORDER + 1 bytes in a partition's texts."""
-    kept_k, kept_n, size = [], [], 0
+    """(block, gram, n): the strings of ORDER + 1 bytes in the texts of rows (block, text, held_out) and how often they stand
+    in texts that aren't held out; a string may be listed more than once."""
+    kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def merged(block: int) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(np.concatenate(x) for x in zip(*kept[block], strict=True)))
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, n = np.concatenate(kept_k), np.concatenate(kept_n)
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return k[at], np.add.reduceat(n, at)
+    def out(block: int) -> pa.RecordBatch:
+        k, n = merged(block)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int32)), pa.array(k), pa.array(n)], ["block", "gram", "n"])
 
     for batch in batches:
-        data, offsets = utf8(batch.column(0))
-        for a, b in _slices(offsets):
-            keys = np.sort(_keys(*framed(data, offsets[a : b + 1])))
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            kept_k.append(keys[at])
-            kept_n.append(np.diff(np.append(at, len(keys))))
-            size += len(at)
-            if size > 4 * _FLUSH:
-                k, n = merged()
-                kept_k, kept_n, size = [k], [n], len(k)
-                if size > 2 * _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], ["gram", "n"])
-                    kept_k, kept_n, size = [], [], 0
-    if kept_k:
-        k, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], ["gram", "n"])
+        blocks = batch.column(0).to_numpy()
+        for block in np.unique(blocks).tolist():
+            own = batch.filter(pa.array(blocks == block))
+            data, offsets = utf8(own.column(1))
+            learnt = ~own.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in _slices(offsets):
+                seq, starts = framed(data, offsets[a : b + 1])
+                keep, n = np.ones(len(seq) - ORDER, bool), np.repeat(learnt[a:b], np.diff(np.append(starts, len(seq))))[ORDER:]
+                keep[_across(starts)] = False
+                part = _summed(_windows(seq)[keep], n[keep].astype(np.int64))
+                kept.setdefault(block, []).append(part)
+                size += len(part[0])
+                if size > 4 * _FLUSH:
+                    kept = {x: [merged(x)] for x in kept}
+                    size = sum(len(x[0][0]) for x in kept.values())
+                    if size > 2 * _FLUSH:
+                        yield from map(out, kept)
+                        kept, size = {}, 0
+    yield from map(out, kept)
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in a sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+class Rates:
+    """The logs of sorted grams, looked up at a hashed place; grams that share one are searched for."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray):
+        self.grams, self.logs = grams, logs
+        self.shift = np.uint64(64 - min(max(len(grams).bit_length() + 3, 8), 22))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[self._slot(grams)] = np.arange(len(grams))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def sums(self, seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sum of the logs of each framed text's grams, all of which must be there."""
+        keys = _windows(seq)
+        at = self.slots[self._slot(keys)]
+        other = np.flatnonzero(self.grams[at] != keys)
+        at[other] = np.minimum(np.searchsorted(self.grams, keys[other]), len(self.grams) - 1)
+        each = self.logs[at]
+        each[_across(starts)] = 0.0
+        return np.add.reduceat(each, starts)
 
 
 class Model:
-    """log10 probability of each byte after each context, from counts of byte strings.
+    """log10 probability of the last byte of grams after the others, from counts of byte strings.
 
-    A context's number: its last byte for order 1, then, order by order, the kept contexts. rows[0] leads from the last two
-    bytes to such a number, rows[o] from the number of the order o + 1 context and the byte before it to that of order
-    o + 2; where a longer context isn't kept, the number of the shorter one stays.
+    For each order, sorted: the strings of context and next byte with their counts, and the contexts with their occurrences
+    and different successors. As what follows a context follows each shorter one, the bytes excluded from an order are
+    exactly those seen in the context one longer; so a context also holds what is left of the next shorter one's counts
+    when its own bytes are excluded.
     """
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """counts: for orders 2 to ORDER, strings of context and next byte with their counts; those of order 2 are whole."""
-        keys, n = np.asarray(counts[0][0], np.int64), np.asarray(counts[0][1], np.float64)
-        one, zero = np.zeros((256, 256)), np.zeros(256)
-        np.add.at(one, ((keys >> 8) & 255, keys & 255), n)
-        np.add.at(zero, keys & 255, n)
-        tables = [self._blend([one], zero)]
-        self.rows: list[np.ndarray] = []
-        known, base, below = np.arange(256), 0, []  # contexts of the order below, their first number, sparse counts by order
-        for order, (keys, n) in enumerate(counts, 2):
-            keys, n = np.asarray(keys, np.int64), np.asarray(n, np.float64)
-            suffix = (keys >> 8) & ((1 << 8 * (order - 1)) - 1)
-            at = np.searchsorted(known, suffix)
-            fits = known[np.minimum(at, len(known) - 1)] == suffix if len(known) else np.zeros(len(keys), bool)
-            keys, n = keys[fits], n[fits]
-            sort = np.argsort(keys)
-            keys, n = keys[sort], n[sort]
-            contexts = np.unique(keys >> 8)
-            parent = np.searchsorted(known, contexts & ((1 << 8 * (order - 1)) - 1))
-            step = base + np.repeat(np.arange(len(known), dtype=np.int32), 256)
-            first = sum(len(t) for t in tables)
-            step[parent * 256 + (contexts >> 8 * (order - 1))] = first + np.arange(len(contexts))
-            self.rows.append(step.astype(np.int32))
-            below.append((contexts, keys, n))
-            for a in range(0, len(contexts), 2048):
-                c, dense = contexts[a : a + 2048], []
-                for up, (own, k, m) in zip(range(order, 1, -1), reversed(below), strict=True):
-                    row = np.searchsorted(own, c & ((1 << 8 * up) - 1))
-                    lo, hi = np.searchsorted(k >> 8, own[row], "left"), np.searchsorted(k >> 8, own[row], "right")
-                    each = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-                    part = np.zeros((len(c), 256))
-                    part[np.repeat(np.arange(len(c)), hi - lo), k[each] & 255] = m[each]
-                    dense.append(part)
-                tables.append(self._blend([*dense, one[c & 255]], zero))
-            known, base = contexts, first
-        self.table = np.concatenate(tables).astype(np.float32).reshape(-1)
-        self.firsts = np.cumsum([0, 256, *(len(b[0]) for b in below)])[:-1]
-
-    @staticmethod
-    def _blend(orders: list[np.ndarray], zero: np.ndarray) -> np.ndarray:
-        rows = len(orders[0])
-        p, left, free = np.zeros((rows, 256)), np.ones((rows, 1)), np.ones((rows, 256), bool)
-        for n in [*orders, np.broadcast_to(zero, (rows, 256))]:
-            n = np.where(free, n, 0.0)
-            seen = n > 0
-            t, d = n.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            after = free & ~seen
-            d = np.where(after.any(1, keepdims=True), d, 0)  # nothing is left to escape to
-            whole = np.where(t > 0, t + d, 1)
-            p += np.where(seen, left * n / whole, 0.0)
-            left = left * np.where(t > 0, d / whole, 1.0)
-            free = after
-        p += np.where(free, left / np.maximum(free.sum(1, keepdims=True), 1), 0.0)
-        return np.log10(p)
-
-    def contexts(self, seq: np.ndarray) -> np.ndarray:
-        """The number of the longest kept context before each byte from ORDER on."""
-        wide = seq.astype(np.int64)
-        to = len(seq) - ORDER
-        number = wide[ORDER - 1 : ORDER - 1 + to]
-        for o, step in enumerate(self.rows):
-            first, size = self.firsts[o], len(step) >> 8
-            before = wide[ORDER - 2 - o : ORDER - 2 - o + to]
-            if o == 0:
-                number = step[(number << 8) + before].astype(np.int64)
-            else:
-                own = number - first
-                deep = own >= 0
-                np.clip(own, 0, max(size - 1, 0), out=own)
-                if size:
-                    number = np.where(deep, step[(own << 8) + before], number)
-        return number
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], one: tuple[np.ndarray, np.ndarray] | None = None):
+        """counts: for orders 2 to ORDER, strings of context and next byte with their counts; one: those of order 1, taken from
+        order 2 where not given (counts then hold all grams)."""
+        two = tuple(np.asarray(x, np.int64) for x in counts[0])
+        one = _summed(two[0] & 0xFFFF, two[1]) if one is None else one
+        self.orders: list[tuple[np.ndarray, ...]] = []
+        for order, (keys, n) in enumerate([(one[0] & 0xFF, one[1]), one, *counts]):
+            keys, n = _summed(np.asarray(keys, np.int64), np.asarray(n, np.int64))
+            contexts, first = np.unique(keys >> 8, return_index=True)
+            total = np.add.reduceat(n, first) if len(keys) else n
+            seen = np.diff(np.append(first, len(keys)))
+            left = more = np.zeros(0, np.int64)
+            if order and len(keys):
+                k, m, c, t, d = self.orders[-1][:5]
+                up = _place(c, contexts & ((1 << 8 * (order - 1)) - 1))[0]
+                left = t[up] - np.add.reduceat(m[_place(k, keys & ((1 << 8 * order) - 1))[0]], first)
+                more = d[up] - seen
+            self.orders.append((keys, n, contexts, total, seen, left, more))
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's last byte after the bytes before it."""
+        grams = np.asarray(grams, np.int64)
+        out = np.zeros(len(grams))
+        todo, longer = np.arange(len(grams)), np.full(len(grams), -1)  # grams not found yet, and their context one longer
+        for order in range(ORDER, -1, -1):
+            keys, n, contexts, total, seen = self.orders[order][:5]
+            own = grams[todo] & ((1 << 8 * (order + 1)) - 1)
+            c, known = _place(contexts, own >> 8)
+            todo_known, c, via = todo[known], c[known], longer[known]
+            if len(c):
+                t, d = total[c], seen[c]
+                if order < ORDER:
+                    above, rest = self.orders[order + 1][5:], via >= 0
+                    t[rest], d[rest] = above[0][via[rest]], above[1][via[rest]]
+                d = np.where(seen[c] == 256, 0, d)  # nothing is left to escape to
+                at, found = _place(keys, own[known])
+                whole = np.log10(np.maximum(t + d, 1))
+                out[todo_known] += np.where(found, np.log10(n[at]), np.where(t > 0, np.log10(np.maximum(d, 1)), 0.0)) - np.where(t > 0, whole, 0.0)
+                longer[known] = c
+                open_ = ~known
+                open_[np.flatnonzero(known)[~found]] = True
+                todo, longer = todo[open_], longer[open_]
+        out[todo] -= np.log10(256 - (self.orders[0][4][0] if len(self.orders[0][0]) else 0)) if len(todo) else 0.0
+        return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each text, its end included."""
         out = [np.zeros(0)]
         for a, b in _slices(offsets):
             seq, starts = framed(data, offsets[a : b + 1])
-            each = self.table[(self.contexts(seq) << 8) + seq[ORDER:]].astype(np.float64)
-            each[_across(starts)] = 0.0
-            out.append(np.add.reduceat(each, starts))
+            grams = np.unique(_windows(seq))
+            out.append(Rates(grams, self.logs(grams)).sums(seq, starts))
         return np.concatenate(out)
 
 
-_models: dict[str, Model] = {}
-
-
-def _model(shipped) -> Model:
-    """This worker's tables, built once from what was broadcast."""
-    key = shipped.value["id"]
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(shipped.value["counts"])
-    return _models[key]
+def rated(counts: DataFrame) -> DataFrame:
+    """(gram, log): log10 probability of each gram of counts(gram, n) under the model of all those with n > 0."""
+    spark = counts.sparkSession
+    low = counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    one = spark.sparkContext.broadcast((low.column("gram").to_numpy(), low.column("n").to_numpy()))  # at most 2^16
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // SHARE))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        if not own:
+            return
+        table = pa.Table.from_batches(own)
+        grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+        keys, m = grams[n > 0], n[n > 0]
+        model = Model([(keys & ((1 << 8 * (order + 1)) - 1), m) for order in range(2, ORDER + 1)], one.value)
+        for a in range(0, len(grams), _FLUSH):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + _FLUSH]), pa.array(model.logs(grams[a : a + _FLUSH]))], ["gram", "log"])
 
-def train(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts over all texts of docs(text), the argument of Model."""
-    grams = stored(docs.select("text").mapInArrow(gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    out = []
-    for order in range(2, ORDER + 1):
-        own = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        if order > 2:
-            contexts = own.groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("n").alias("t"))
-            if contexts.count() > max_contexts:
-                top = contexts.orderBy(F.desc("t"), "c").limit(max_contexts).select("c")
-                own = own.join(F.broadcast(top), F.shiftright("gram", 8) == F.col("c"), "left_semi")
-        table = own.select("gram", "n").toArrow().sort_by("gram")
-        out.append((table.column("gram").to_numpy(), table.column("n").to_numpy()))
-    return out
+    return counts.select("gram", "n").repartition(shares, F.shiftright("gram", 8).bitwiseAND(0xFFFF)).mapInArrow(run, "gram long, log double")
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +250,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def score(docs: DataFrame, held_out, max_contexts: int = MAX_CONTEXTS, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: Boolean Column; the rows where it holds are scored but not learnt from. base_score: log10 probability under
@@ -252,9 +264,11 @@ def score(docs: DataFrame, held_out, max_contexts: int = MAX_CONTEXTS, max_frequ
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    docs = stored(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.spark_partition_id().alias("block")), "texts")
     learnt = docs.where(~F.col("held_out")).select("text")
-    shipped = sc.broadcast({"id": uuid.uuid4().hex, "counts": train(learnt, max_contexts)})
+    grams = stored(docs.select("block", "text", "held_out").mapInArrow(gram_counts, "block int, gram long, n long"), "grams")
+    by_gram = rated(stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts"))
+    blocks = (docs.agg(F.max("block")).first()[0] or 0) + 1
     counts = stored(learnt.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     level = F.floor(F.log2(F.col("n")) * 8)
     by_level = sorted(counts.where("n > 0").groupBy(level.alias("l")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect(), reverse=True)
@@ -285,9 +299,19 @@ def score(docs: DataFrame, held_out, max_contexts: int = MAX_CONTEXTS, max_frequ
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, n_all, v_all = known.value
         logs = {w: float(np.log10((c + 1) / (n_all + v_all + 1))) for w, c in common.items()}
+        asked, logged, rates = [], [], None
         for batch in batches:
-            model = _model(shipped)
-            rows, keys, tokens, hits, base = texts(batch.column(1)), [], [], [], []
+            if rates is None:
+                answers = batch.filter(pc.is_valid(batch.column(3)))
+                asked.append(answers.column(3).to_numpy())
+                logged.append(answers.column(4).to_numpy())
+            batch = batch.filter(pc.is_null(batch.column(3)))
+            if not batch.num_rows:
+                continue
+            if rates is None:  # the block's grams came first
+                own, at = np.unique(np.concatenate(asked), return_index=True)
+                rates = Rates(own, np.concatenate(logged)[at])
+            rows, keys, tokens, hits, base, total = texts(batch.column(1)), [], [], [], [], [np.zeros(0)]
             for text in rows:
                 words = text.translate(LOWER).split()
                 words.append(b"")
@@ -297,13 +321,21 @@ def score(docs: DataFrame, held_out, max_contexts: int = MAX_CONTEXTS, max_frequ
                 inside = [(t, logs[w]) for w, t in own.items() if w in logs]
                 hits.append(sum(t for t, _ in inside) - (common.get(b"", 0) == 0 and b"" in logs))
                 base.append(sum(t * x for t, x in inside))
+            data, offsets = utf8(batch.column(1))
+            for a, b in _slices(offsets):
+                seq, starts = framed(data, offsets[a : b + 1])
+                total.append(rates.sums(seq, starts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(model.score(*utf8(batch.column(1))))],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(total))],
                 ["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "score"],
             )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", "held_out").mapInArrow(scored, f"doc_id {id_type}, held_out boolean, key binary, n_tokens long, n_known long, base double, score double")
+    id_type = docs.schema["doc_id"].dataType
+    blank = lambda kind: F.lit(None).cast(kind)
+    answers = grams.select("block", "gram").join(by_gram, "gram").select(blank(id_type).alias("doc_id"), blank("string").alias("text"), blank("boolean").alias("held_out"), "gram", "log", "block")
+    both = docs.select("doc_id", "text", "held_out", blank("long").alias("gram"), blank("double").alias("log"), "block").union(answers)
+    both = both.repartitionById(blocks, F.col("block")).sortWithinPartitions(F.isnull("gram")).drop("block")  # one block in each, its grams first
+    rows = both.mapInArrow(scored, f"doc_id {id_type.simpleString()}, held_out boolean, key binary, n_tokens long, n_known long, base double, score double")
     copies = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key")).groupBy("key").agg(F.count("*").alias("copies"))
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
     rare = (
@@ -319,4 +351,4 @@ def score(docs: DataFrame, held_out, max_contexts: int = MAX_CONTEXTS, max_frequ
     )
 
 
-__all__ = ["MARK", "ORDER", "Model", "framed", "gram_counts", "score", "train", "word_counts"]
+__all__ = ["MARK", "ORDER", "Model", "framed", "gram_counts", "rated", "score", "word_counts"]

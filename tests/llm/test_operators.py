@@ -347,6 +347,38 @@ def test_ppm_model():
         assert abs(score - total) < 1e-4
 
 
+def test_ppm_keeps_all_contexts(spark):
+    r = random.Random(5)
+    train = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz 0123") for _ in range(30_000)) for _ in range(4)]
+    held = [train[0][100:400], train[3][-200:], "abc zz", "ÿé"]
+    d, counts = ppm.ORDER, [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    frame = lambda t: b"\xff" * d + t.encode() + b"\xff"
+    for s in map(frame, train):
+        for i in range(d, len(s)):
+            for o in range(d + 1):
+                counts[o][s[i - o : i]][s[i]] += 1
+    assert len(counts[4]) > 65_536
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(train + held)], "doc_id int, text string").repartition(3)
+    got_ = {x.doc_id: x.score for x in ppm.score(rows, F.col("doc_id") >= len(train)).collect()}
+    for k, s in enumerate(map(frame, held), len(train)):
+        total = 0.0
+        for i in range(d, len(s)):
+            out, p = set(), 1.0
+            for o in range(d, -1, -1):
+                c = {b: n for b, n in counts[o].get(s[i - o : i], {}).items() if b not in out}
+                if c:
+                    whole = sum(c.values()) + len(c)
+                    if s[i] in c:
+                        p *= c[s[i]] / whole
+                        break
+                    p *= len(c) / whole
+                    out |= set(c)
+            else:
+                p /= 256 - len(out)
+            total += math.log10(p)
+        assert abs(got_[k] - total) < 1e-6
+
+
 def test_queries_match_sql(spark):
     import duckdb
 
