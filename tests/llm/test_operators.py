@@ -201,6 +201,18 @@ def test_quality(spark, docs):
     assert got(quality.assess(docs, None), "kept") == got(quality.assess(docs, labels.limit(0)), "kept")
 
 
+def test_quality_threshold_from_labels(spark):
+    r = random.Random(8)
+    some = lambda n: " ".join(r.choice(("stone", "river", "mountain", "light", "house", "storm", "green", "silver")) for _ in range(n))
+    texts = [some(80) if i < 400 else f"{some(40)} vile wretch {some(40)}" for i in range(460)]
+    rows = spark.createDataFrame([(i, f"{t} {i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(i, 1, 1) for i in range(400, 430)], "doc_id long, quality int, toxic int")
+    out = quality.assess(rows, labels).where("not base_failed").cache()
+    clean, toxic = out.where("doc_id < 400"), out.where("doc_id >= 400")
+    assert clean.where("kept").count() >= 0.95 * clean.count() > 0 and toxic.where("not kept").count() >= 0.95 * toxic.count() > 0
+    assert toxic.where("llr > -0.5").count() == toxic.count()
+
+
 def test_mixing(spark, docs):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     out = mixing.mix(docs, ratio=3.0)
