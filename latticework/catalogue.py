@@ -191,7 +191,7 @@ def _contexts(g: Graph, own: view.Spine, listed: DataFrame) -> DataFrame:
 
 
 def _neighbours(relations: list[str]) -> Callable[[SparkSession, str], DataFrame]:
-    return _simple(lambda g: lookup.neighbours(g.nodes, g.edges, g.nodes, relations, most=1000))
+    return _simple(lambda g: lookup.neighbours(g.nodes, g.edges, g.nodes, relations, most=None))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -51,9 +51,9 @@ def query_class(nodes: DataFrame, brick_class: str, has_ts: bool | None = None,
     return out.orderBy("node_ord").limit(max(most, 1))
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relations: list[str], direction: str = "both", most: int = 30) -> DataFrame:
+def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relations: list[str], direction: str = "both", most: int | None = 30) -> DataFrame:
     """(node_id, rel, direction, neighbour, brick_class, has_ts) of starts(node_id), each (rel, neighbour) once, the first most by
-    edge_ord. A canonical relation goes out, in or both ways; an inverse one always follows its canonical edges backwards.
+    edge_ord, or all for None. A canonical relation goes out, in or both ways; an inverse one always follows its canonical edges backwards.
     Global relations count under their base name."""
     own = edges.select("edge_ord", "src", base_relation(F.col("rel")).alias("rel"), "dst")
     parts = []
@@ -66,8 +66,9 @@ def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relations:
     for p in parts[1:]:
         out = out.union(p)
     out = out.join(starts.select("node_id"), "node_id", "left_semi").groupBy("node_id", "rel", "neighbour").agg(F.min(F.struct("edge_ord", "direction")).alias("x"))
-    nth = F.row_number().over(Window.partitionBy("node_id").orderBy("x.edge_ord", "rel", "neighbour"))
-    out = out.withColumn("nth", nth).where(F.col("nth") <= most)
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy("node_id").orderBy("x.edge_ord", "rel", "neighbour"))
+        out = out.withColumn("nth", nth).where(F.col("nth") <= most)
     return _described(out.select("node_id", "rel", F.col("x.direction").alias("direction"), "neighbour"), nodes)
 
 

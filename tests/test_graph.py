@@ -168,3 +168,16 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("gridded"), "sensor_id", "n", "value") == [("s", 2, 2.0)]
+
+
+@pytest.mark.parametrize(("name", "there"), [("neighbors_typed", 1100), ("neighbors_inverse", 0)])
+def test_neighbours_are_not_capped(spark, monkeypatch, name, there):
+    from types import SimpleNamespace
+
+    from latticework import catalogue
+
+    n, e, _ = make(spark, [("hub", "AHU", None)] + [(f"n{i}", "AHU", None) for i in range(1100)], [("hub", "hasPart", f"n{i}") for i in range(1100)] + [(f"n{i}", "feeds", "n0") for i in range(1, 1100)])
+    monkeypatch.setattr(catalogue, "graph", lambda spark, sf_dir: SimpleNamespace(nodes=n, edges=e))
+    out = catalogue.QUERIES[name](spark, "")
+    assert out.where("node_id = 'hub'").count() == there
+    assert out.where("node_id = 'n0'").count() == 1100
