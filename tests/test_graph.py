@@ -181,3 +181,15 @@ def test_neighbours_are_not_capped(spark, monkeypatch, name, there):
     out = catalogue.QUERIES[name](spark, "")
     assert out.where("node_id = 'hub'").count() == there
     assert out.where("node_id = 'n0'").count() == 1100
+
+
+def test_same_class_lists_leaves(spark):
+    from latticework.operators import baselines
+
+    given = [("a", "S", True), ("b", "S", True), ("c", "S", None), ("d", "T", True), ("e", "S", True), ("f", "T", True), ("g", "U", True)]
+    n, _, _ = make(spark, given, [("a", "feeds", "b")])
+    targets = [("a", "S"), ("e", "S"), ("d", "T"), ("g", "U")]
+    df = spark.createDataFrame(targets, "target string, target_class string")
+    want = sorted((t, i) for t, k in targets for i, c, series in given if c == k and series and i != t)
+    assert rows(baselines.same_class(df, n), "target", "leaf") == want
+    assert rows(baselines.same_class_sizes(df, n), "target", "n") == sorted((t, sum(x == t for x, _ in want)) for t, _ in targets)
