@@ -32,6 +32,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shares(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions for so many rows, at most about most in each; no fewer than shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

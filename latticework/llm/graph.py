@@ -1,18 +1,55 @@
-"""Connected components over DataFrames: alternating large and small stars, whose rounds grow with the logarithm of a component."""
+"""Connected components over DataFrames: alternating large and small stars, whose rounds grow with the logarithm of a component.
+
+Before the first round every partition reduces its edges to stars of their own (union-find), which join the same nodes with
+fewer edges than nodes, however many edges a dense group has.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 MAX_ROUNDS = 60
+#: Edges that a partition reduces at a time.
+_HELD = 1_000_000
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition -> fewer edges (node, smallest node it reaches) that join the same nodes."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        path = []
+        while (y := up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            up[y] = x
+        return x
+
+    def out() -> pa.RecordBatch:
+        pairs = [(x, y) for x in up if (y := top(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = top(a), top(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > _HELD:
+            yield out()
+            up.clear()
+    yield out()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of edges(a, b); loops and repeats are fine."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """node, component (its smallest node) of every node of edges(a, b), both long; repeats are fine, loops are left out."""
+    now = stored(edges.where("a <> b").select("a", "b").mapInArrow(stars, "u long, v long").distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
     before = mark(now)
     for _ in range(MAX_ROUNDS if before[0] else 0):
@@ -29,3 +66,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.join(now.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts(node, component) after further links(a, b): only the components that a link touches meet in a new graph."""
+    label = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    both = stored(label(label(links.select("a", "b"), "a"), "b"), "labelled")
+    new = both.select(F.col("a").alias("node")).union(both.select("b")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    above = components(both.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return stored(parts.union(new).join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "components")

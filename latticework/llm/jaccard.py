@@ -8,15 +8,18 @@ bitmaps of its sets, hashed into at least eight bits a shingle: x has at least a
 has bits that y's lacks, which bounds the overlap from above. (In tiles of LONG and more sets this is done on the spot, so
 that a tile gives few pairs.) What is left meets the exact intersection of the sorted arrays.
 
-All pairs of a tile are too many where near copies abound. So, first, only neighbours in a tile are paired; their links give
-components. Then each set of a tile is paired with the next one of another component, which joins most of what belongs
-together, at no more pairs than rows. Last, sets of a tile are paired only across components: no link is lost, as any two
-sets that are not compared are already joined.
+All pairs of a tile are too many where near copies abound. So, first, a tile's sets of about one size are paired only with
+one of them, the one with the smallest key, which near copies share in most of their tiles, so that a large group gives few
+different pairs; their links give components. Tiles within one component are then done with. In the others each set is paired
+with the next one of another component, at no more pairs than rows. Last, the sets of tiles that still hold several
+components are paired across these, for which alone the bitmaps are fetched: no link is lost, as any two sets that are not
+compared are already joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, stored, texts
-from .graph import components
+from .common import LOWER, fresh, mix, shares, stored, texts
+from .graph import components, joined
 
 WORDS = 5
 #: A shingle counts as common from so many distinct sets in one partition, and so many over all; at most MAX_COMMON are ordered last.
@@ -39,7 +42,9 @@ _CACHE = 200_000
 _PAIRS = 500_000
 #: Of the next other component in a tile, so many sets are tried until one may link.
 _NEXT = 4
-_PLACE = 24
+_PLACE = 32
+#: Prefix entries of one partition of tiles, about.
+_SHARE = 1_000_000
 
 
 class _Hashes(dict):
@@ -142,19 +147,50 @@ def _may_link(place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
     return (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)) & (7 * left >= 3 * (n_a + n_b))
 
 
-def _run_pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of row numbers within runs (ends: of each row's run), _PAIRS or so at a time."""
-    at = np.arange(len(ends))
-    many = ends - at - 1
+def _bands(sizes: np.ndarray) -> np.ndarray:
+    """Sizes by powers of 4/3: those that may link are in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(4 / 3)).astype(np.int64)
+
+
+def _star_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (shingle, key, place) in the order of shingle and place: each row's number and that of its tile's row with the
+    smallest key in the band, and those of such rows in neighbouring bands, where they may link."""
+    place = rows[:, 2].astype(np.int64)
+    band = _bands(place >> _PLACE)
+    order = np.lexsort((rows[:, 1], band, rows[:, 0]))
+    shingle, band = rows[order, 0], band[order]
+    new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (band[1:] != band[:-1])])
+    heads = np.flatnonzero(new)
+    head = heads[np.cumsum(new) - 1]
+    left, right = np.flatnonzero(~new), head[~new]
+    beside = np.flatnonzero((shingle[heads[1:]] == shingle[heads[:-1]]) & (band[heads[1:]] == band[heads[:-1]] + 1))
+    left, right = order[np.concatenate([left, heads[beside + 1]])], order[np.concatenate([right, heads[beside]])]
+    ok = _may_link(place[left], place[right])
+    return left[ok], right[ok]
+
+
+def _run_pairs(begin: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row's number with those from begin to end (of each row), _PAIRS or so at a time."""
+    many = np.maximum(ends - begin, 0)
     total = np.cumsum(many)
-    begin = 0
-    while begin < len(ends):
-        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
-        counts = many[begin:stop]
+    at = 0
+    while at < len(many):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+        counts = many[at:stop]
         if counts.sum():
-            left = np.repeat(at[begin:stop], counts)
-            yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
-        begin = stop
+            left = np.repeat(np.arange(at, stop), counts)
+            yield left, np.repeat(begin[at:stop], counts) + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = stop
+
+
+def _cross_pairs(components: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a tile's row numbers in different components: what is outside the largest one with all."""
+    _, label, many = np.unique(components, return_inverse=True, return_counts=True)
+    order = np.lexsort((np.arange(len(label)), label, -many[label]))  # the largest component first
+    starts = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
+    ends = np.repeat(starts, np.diff(np.append(starts, len(order))))  # rows before a row's own component
+    for left, right in _run_pairs(np.zeros(len(order), np.int64), ends):
+        yield order[left], order[right]
 
 
 def _next_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +211,20 @@ def _next_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (shingle, a, place, component): those of tiles with several components, in the order of shingle, place and a;
+    and where each tile starts."""
+    own = [np.stack([c.to_numpy() for c in b.columns], 1) for b in batches]
+    rows = np.concatenate([*own, np.zeros((0, 4), np.int64)])
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+    mixed = np.minimum.reduceat(rows[:, 3], starts) != np.maximum.reduceat(rows[:, 3], starts)
+    many = np.diff(np.append(starts, len(rows)))
+    return rows[np.repeat(mixed, many)], np.concatenate([[0], np.cumsum(many[mixed])[:-1]]).astype(np.int64) if mixed.any() else np.zeros(0, np.int64)
+
+
 class _Bitmaps:
     """Bitmaps of a tile's sets, as matrices folded to each width."""
 
@@ -212,6 +262,17 @@ def _unique_pairs(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.n
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
+def _with_rows(pairs: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs and tile rows as (shingle, a, b, place, component): shingle is null for pairs, b for rows."""
+    names = ["shingle", "a", "b", "place", "component"]
+    if len(pairs):
+        nothing = pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing, *_pair_batch(pairs).columns, nothing, nothing], names)
+    for at in range(0, len(rows), _PAIRS):
+        shingle, a, place, component = (pa.array(np.ascontiguousarray(c)) for c in rows[at : at + _PAIRS].T)
+        yield pa.RecordBatch.from_arrays([shingle, a, pa.nulls(len(a), pa.int64()), place, component], names)
+
+
 def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
@@ -238,7 +299,7 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
     shingle, count = common.column("key").to_numpy().astype(np.uint64), common.column("n").to_numpy()
     order = np.argsort(shingle)
     last = sc.broadcast((shingle[order], count[order]))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shares(spark, (rows.agg(F.sum("n")).first()[0] or 0) // 4, _SHARE)
     buckets = 8 * parts
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +340,9 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
         if held:
             yield out()
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a partition's buckets: pairs of neighbours as (a, b), and the rows of shared shingles as (shingle, a, place, run)."""
-        names = ["shingle", "a", "b", "place", "run"]
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a partition's buckets: pairs (a, b) with each tile's smallest key, and the rows of shared shingles as (shingle, a, place)."""
+        names = ["shingle", "a", "b", "place"]
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -292,16 +353,16 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
             every = every[np.concatenate([[True], (every[1:] != every[:-1]).any(1)])]  # equal sets from several partitions
             starts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0]]))
             many = np.diff(np.append(starts, len(every)))
-            every, run = every[np.repeat(many > 1, many)], np.repeat(many[many > 1], many[many > 1])
-            place = every[:, 2].astype(np.int64)
-            near = np.flatnonzero((every[1:, 0] == every[:-1, 0]) & _may_link(place[:-1], place[1:]))
-            p = _unique_pairs(every, near, near + 1)
+            every = every[np.repeat(many > 1, many)]
+            if not len(every):
+                continue
+            p = _unique_pairs(every, *_star_pairs(every))
             nothing = pa.nulls(len(p), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, *_pair_batch(p).columns, nothing, nothing], names)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in every[:, :2].T), pa.nulls(len(every), pa.int64()), pa.array(place), pa.array(run)], names)
+            yield pa.RecordBatch.from_arrays([nothing, *_pair_batch(p).columns, nothing], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in every[:, :2].T), pa.nulls(len(every), pa.int64()), pa.array(every[:, 2].astype(np.int64))], names)
 
     dealt = docs.select(F.col("text").cast("string")).mapInArrow(prefixes, "bucket int, blob binary").repartition(parts, "bucket")
-    tiles = stored(dealt.mapInArrow(neighbours, "shingle long, a long, b long, place long, run long"), "tiles")
+    tiles = stored(dealt.mapInArrow(stars, "shingle long, a long, b long, place long"), "tiles")
     sets = stored(rows.where("n > 0").groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "sets")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,70 +383,72 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
                 keep.append(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
 
+    fetched: list[DataFrame] = []
+
     def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+        """Those of the pairs (a, b) that link. The arrays of sets asked for before are not made again."""
         side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
         near = stored(near.mapInArrow(bounded, "a long, b long"), "near")
-        wanted = stored(near.select(F.col("a").alias("key")).union(near.select("b")).distinct().join(sets.select("key", "text_key"), "key"), "wanted")
+        wanted = near.select(F.col("a").alias("key")).union(near.select("b")).distinct().join(sets.select("key", "text_key"), "key")
+        for known in fetched:
+            wanted = wanted.join(known.select("key"), "key", "left_anti")
+        wanted = stored(wanted, "wanted")
         found = source.select("text_key", "text").join(_few(wanted, MAX_KEYS), "text_key").select("key", "text").mapInArrow(arrays, "key long, found binary")
-        found = stored(found.dropDuplicates(["key"]), "arrays")
-        both = near.join(found.select(F.col("key").alias("a"), F.col("found").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("found").alias("y")), "b")
+        fetched.append(stored(found.dropDuplicates(["key"]), "arrays"))
+        every = reduce(DataFrame.union, fetched)
+        both = near.join(every.select(F.col("key").alias("a"), F.col("found").alias("x")), "a").join(every.select(F.col("key").alias("b"), F.col("found").alias("y")), "b")
         return stored(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
 
-    first = stored(tiles.where("shingle is null").select("a", "b").distinct(), "pairs")
-    sure = links(first)
-    part = components(sure)
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shingle, a, place, component) -> of mixed tiles, pairs (a, b) of sets with the next of another component, and the rows."""
+        tile, _ = _mixed(batches)
+        if len(tile):
+            yield from _with_rows(_unique_pairs(tile, *_next_pairs(tile)), tile)
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shingle, a, place, component) -> of short mixed tiles, pairs (a, b) across components; of long ones, the rows."""
+        rows, starts = _mixed(batches)
+        many = np.diff(np.append(starts, len(rows)))
+        some = rows[np.repeat(many < LONG, many)]
+        ends = np.searchsorted(some[:, 0], some[:, 0], "right")
+        for left, right in _run_pairs(np.arange(len(some)) + 1, ends):
+            ok = (some[left, 3] != some[right, 3]) & _may_link(some[left, 2], some[right, 2])
+            yield from _with_rows(_unique_pairs(some, left[ok], right[ok]), rows[:0])
+        yield from _with_rows(np.zeros((0, 2), np.int64), rows[np.repeat(many >= LONG, many)])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shingle, a, place, component, bitmap) -> pairs across components; bitmap: in long tiles only."""
+        """(shingle, a, place, component, bitmap) of long tiles -> pairs across components that may link by their bitmaps."""
         table = pa.Table.from_batches(list(batches), pa.schema([("shingle", pa.int64()), ("a", pa.int64()), ("place", pa.int64()), ("component", pa.int64()), ("bitmap", pa.binary())]))
+        if not len(table):
+            return
         order = np.lexsort([table.column(i).to_numpy() for i in (1, 2, 0)])
         rows = np.stack([table.column(i).to_numpy()[order] for i in range(4)], 1)
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
-        many = np.diff(np.append(starts, len(rows)))
-        mixed = np.minimum.reduceat(rows[:, 3], starts) != np.maximum.reduceat(rows[:, 3], starts) if len(rows) else np.zeros(0, bool)
-        maps = table.column(4).combine_chunks().take(pa.array(order)) if len(rows) else table.column(4).combine_chunks()
-        bare = np.repeat(mixed, many) & maps.is_null().to_numpy(zero_copy_only=False)
-        some = rows[bare]
-        ends = np.searchsorted(some[:, 0], some[:, 0], "right")
-        for left, right in _run_pairs(ends):
-            ok = (some[left, 3] != some[right, 3]) & _may_link(some[left, 2], some[right, 2])
-            yield _pair_batch(_unique_pairs(some, left[ok], right[ok]))
-        for at, size in zip(starts[mixed], many[mixed], strict=True):
-            if not maps[int(at)].is_valid:
-                continue
-            tile = rows[at : at + size]
-            held = _Bitmaps(maps.slice(int(at), int(size)).to_pylist(), tile[:, 2] >> _PLACE)
-            for left, right in _run_pairs(np.full(size, size)):
-                ok = (tile[left, 3] != tile[right, 3]) & _may_link(tile[left, 2], tile[right, 2])
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        for at, end in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+            tile = rows[at:end]
+            held = _Bitmaps([table.column(4)[int(i)].as_py() for i in order[at:end]], tile[:, 2] >> _PLACE)
+            for left, right in _cross_pairs(tile[:, 3]):
+                ok = _may_link(tile[left, 2], tile[right, 2])
                 left, right = left[ok], right[ok]
                 ok = held.may_link(left, right)
                 yield _pair_batch(_unique_pairs(tile, left[ok], right[ok]))
 
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shingle, a, place, component) -> pairs of sets with the next of another component."""
-        table = pa.Table.from_batches(list(batches), pa.schema([("shingle", pa.int64()), ("a", pa.int64()), ("place", pa.int64()), ("component", pa.int64())]))
-        if len(table):
-            order = np.lexsort([table.column(i).to_numpy() for i in (1, 2, 0)])
-            tile = np.stack([table.column(i).to_numpy()[order] for i in range(4)], 1)
-            yield _pair_batch(_unique_pairs(tile, *_next_pairs(tile)))
-
-    def grouped(part: DataFrame) -> DataFrame:
-        """The tiles' rows with their component so far."""
-        return tiles.where("shingle is not null").join(part.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "place", F.coalesce("component", "a").alias("component"), "run")
-
-    def joined(part: DataFrame, more: DataFrame) -> DataFrame:
-        return components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
-    dealt = grouped(part).drop("run").repartition(parts, "shingle")
-    second = stored(dealt.mapInArrow(beside, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    def grouped(tiles: DataFrame, part: DataFrame) -> DataFrame:
+        """The tiles' rows with their component so far, a tile in one partition."""
+        own = tiles.where("shingle is not null").select("shingle", "a", "place").join(part.select(F.col("node").alias("a"), "component"), "a", "left")
+        return own.select("shingle", "a", "place", F.coalesce("component", "a").alias("component")).repartition(parts, "shingle")
+
+    pairs = lambda df: df.where("shingle is null").select("a", "b").distinct()
+    first = stored(pairs(tiles), "pairs")
+    part = stored(components(links(first)), "components")
+    tiles = stored(grouped(tiles, part).mapInArrow(beside, "shingle long, a long, b long, place long, component long"), "tiles")
+    second = stored(pairs(tiles).join(first, ["a", "b"], "left_anti"), "pairs")
     part = joined(part, links(second))
-    held = grouped(part)
-    short = held.where(F.col("run") < LONG).select("shingle", "a", "place", "component", F.lit(None).cast("binary").alias("bitmap"))
-    long = held.where(F.col("run") >= LONG).join(sets.select(F.col("key").alias("a"), "bitmap"), "a").select("shingle", "a", "place", "component", "bitmap")
-    others = short.union(long).repartition(parts, "shingle").mapInArrow(across, "a long, b long").distinct().join(first.union(second), ["a", "b"], "left_anti")
-    whole = joined(part, links(stored(others, "pairs")))
+    tiles = stored(grouped(tiles, part).mapInArrow(sifted, "shingle long, a long, b long, place long, component long"), "tiles")
+    long = tiles.where("shingle is not null").join(sets.select(F.col("key").alias("a"), "bitmap"), "a").select("shingle", "a", "place", "component", "bitmap")
+    others = long.repartition(parts, "shingle").mapInArrow(across, "a long, b long").union(tiles.where("shingle is null").select("a", "b")).distinct()
+    whole = joined(part, links(stored(others.join(first.union(second), ["a", "b"], "left_anti"), "pairs")))
     least = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")).join(whole.withColumnRenamed("node", "key"), "key", "left")
     least = least.select("key", "least", F.coalesce("component", "key").alias("component"))
     names = least.groupBy("component").agg(F.min("least").alias("best"))
@@ -398,12 +461,13 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
 
 def distinct(docs: DataFrame) -> DataFrame:
     """The rows of docs(doc_id, text, ..) without near duplicates: of each component, one row with its smallest id (and, among
-    rows of that id, smallest text hash); all rows without shingles stay, but for repeated ones."""
-    chosen = join(docs, marks=True).where("chosen").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
+    rows of that id, smallest text hash); all rows without shingles stay, but for repeated ones. Any other column names do."""
+    own_id, own_text, key = fresh(docs, "own_id", "own_text", "text_hash")
+    chosen = join(docs, marks=True).where("chosen").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text)).distinct()
     chosen = stored(chosen, "chosen")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(_few(chosen, MAX_KEYS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(_few(chosen, MAX_KEYS), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_text)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def join_sql() -> str:
