@@ -10,10 +10,10 @@ that a tile gives few pairs.) What is left meets the exact intersection of the s
 
 All pairs of a tile are too many where near copies abound. So, first, a tile's sets of about one size are paired only with
 one of them, the one with the smallest key, which near copies share in most of their tiles, so that a large group gives few
-different pairs; their links give components. Tiles within one component are then done with. In the others each set is paired
-with the next one of another component, at no more pairs than rows. Last, the sets of tiles that still hold several
-components are paired across these, for which alone the bitmaps are fetched: no link is lost, as any two sets that are not
-compared are already joined.
+different pairs; their links give components. Tiles within one component are then done with. In the others, up to ROUNDS times, each
+set is paired with the next one of another component, and with one of the tile's largest component that a hash draws, at no
+more than two pairs a row. Last, the sets of tiles that still hold several components are paired across these, for which alone
+the bitmaps are fetched: no link is lost, as any two sets that are not compared are already joined.
 """
 
 from __future__ import annotations
@@ -40,7 +40,10 @@ MAX_KEYS = 500_000
 _TOKENS = 3_000_000
 _CACHE = 200_000
 _PAIRS = 500_000
-#: Of the next other component in a tile, so many sets are tried until one may link.
+#: Rounds that join a tile's components by few pairs before all pairs across them: at most so many, and another one only after
+#: more links than this.
+ROUNDS, MANY_LINKS = 3, 10_000
+#: Of the other component in a tile, so many sets are tried until one may link.
 _NEXT = 4
 _PLACE = 32
 #: Prefix entries of one partition of tiles, about.
@@ -211,6 +214,31 @@ def _next_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
+def _probe_pairs(rows: np.ndarray, starts: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (shingle, key, place, component) of tiles that start at starts: the number of each row outside its tile's largest
+    component and that of a member of this one, drawn by hash, that may link, where one of _NEXT draws is such a member."""
+    tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    order = np.lexsort((rows[:, 3], tile))
+    new = np.concatenate([[True], (tile[order][1:] != tile[order][:-1]) | (rows[order, 3][1:] != rows[order, 3][:-1])])
+    begin = np.flatnonzero(new)
+    many = np.diff(np.append(begin, len(rows)))
+    by_size = np.lexsort((many, tile[order][begin]))
+    largest = by_size[np.append(np.flatnonzero(np.diff(tile[order][begin][by_size])), len(by_size) - 1)]  # a run for each tile
+    own = np.empty(len(rows), np.int64)
+    own[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(own != largest[tile])
+    left, right = [], []
+    for step in range(_NEXT):
+        run = largest[tile[at]]
+        draw = mix(rows[at, 1].astype(np.uint64) ^ mix(rows[at, 0].astype(np.uint64) + np.uint64(salt * _NEXT + step)))
+        to = order[begin[run] + (draw % many[run].astype(np.uint64)).astype(np.int64)]
+        ok = _may_link(rows[at, 2], rows[to, 2])
+        left.append(at[ok])
+        right.append(to[ok])
+        at = at[~ok]
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _mixed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Of rows (shingle, a, place, component): those of tiles with several components, in the order of shingle, place and a;
     and where each tile starts."""
@@ -400,11 +428,15 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
         both = near.join(every.select(F.col("key").alias("a"), F.col("found").alias("x")), "a").join(every.select(F.col("key").alias("b"), F.col("found").alias("y")), "b")
         return stored(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
 
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shingle, a, place, component) -> of mixed tiles, pairs (a, b) of sets with the next of another component, and the rows."""
-        tile, _ = _mixed(batches)
-        if len(tile):
-            yield from _with_rows(_unique_pairs(tile, *_next_pairs(tile)), tile)
+    def beside(salt: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(shingle, a, place, component) -> of mixed tiles, pairs (a, b) of sets in different components, and the rows."""
+            tile, starts = _mixed(batches)
+            if len(tile):
+                found = zip(_next_pairs(tile), _probe_pairs(tile, starts, salt), strict=True)
+                yield from _with_rows(_unique_pairs(tile, *map(np.concatenate, found)), tile)
+
+        return run
 
     def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shingle, a, place, component) -> of short mixed tiles, pairs (a, b) across components; of long ones, the rows."""
@@ -440,15 +472,19 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
         return own.select("shingle", "a", "place", F.coalesce("component", "a").alias("component")).repartition(parts, "shingle")
 
     pairs = lambda df: df.where("shingle is null").select("a", "b").distinct()
-    first = stored(pairs(tiles), "pairs")
-    part = stored(components(links(first)), "components")
-    tiles = stored(grouped(tiles, part).mapInArrow(beside, "shingle long, a long, b long, place long, component long"), "tiles")
-    second = stored(pairs(tiles).join(first, ["a", "b"], "left_anti"), "pairs")
-    part = joined(part, links(second))
+    asked = stored(pairs(tiles), "pairs")
+    part = stored(components(links(asked)), "components")
+    for salt in range(ROUNDS):
+        tiles = stored(grouped(tiles, part).mapInArrow(beside(salt), "shingle long, a long, b long, place long, component long"), "tiles")
+        more = stored(pairs(tiles).join(asked, ["a", "b"], "left_anti"), "pairs")
+        found = links(more)
+        part, asked = joined(part, found), asked.union(more)
+        if found.count() <= MANY_LINKS:
+            break
     tiles = stored(grouped(tiles, part).mapInArrow(sifted, "shingle long, a long, b long, place long, component long"), "tiles")
     long = tiles.where("shingle is not null").join(sets.select(F.col("key").alias("a"), "bitmap"), "a").select("shingle", "a", "place", "component", "bitmap")
     others = long.repartition(parts, "shingle").mapInArrow(across, "a long, b long").union(tiles.where("shingle is null").select("a", "b")).distinct()
-    whole = joined(part, links(stored(others.join(first.union(second), ["a", "b"], "left_anti"), "pairs")))
+    whole = joined(part, links(stored(others.join(asked, ["a", "b"], "left_anti"), "pairs")))
     least = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")).join(whole.withColumnRenamed("node", "key"), "key", "left")
     least = least.select("key", "least", F.coalesce("component", "key").alias("component"))
     names = least.groupBy("component").agg(F.min("least").alias("best"))
