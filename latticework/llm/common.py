@@ -76,6 +76,12 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: crc32 of an ASCII string, a bit at a time."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i, 1)), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}::bigint[]), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295::bigint)"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, elementwise."""
     x = x.astype(np.uint64, copy=True)

@@ -70,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.find_sql(),
+    "op4_warc_fixity": warc.audit_sql(),
     "op6_mix": mixing.mix_sql(),
     "op7_jaccard_join": jaccard.join_sql(),
+    "op9_licences": licences.scan_sql(licences.known_rows()),
 }
