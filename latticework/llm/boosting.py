@@ -10,7 +10,8 @@ class Boosted:
         self.trees, self.depth, self.rate, self.least, self.ridge = trees, depth, rate, least, ridge
         self.grown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
-        self.steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+        self.group: int | None = None
+        self.steps: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         """x: rows, features; y: 0 or 1. Every tree is a full one: inner nodes in level order, then leaves."""
@@ -59,18 +60,30 @@ class Boosted:
             z += leaf[at - len(feature)]
         return z
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Isotonic regression of y on the margin, by pooling neighbours that fall."""
-        order = np.argsort(z := self.margin(x), kind="stable")
+    def calibrate(self, x: np.ndarray, y: np.ndarray, group: int | None = None) -> Boosted:
+        """Isotonic regression of y on the margin; of rows that share a value of feature group on their own, if given."""
+        self.group = group
+        names = np.zeros(len(x)) if group is None else x[:, group]
+        self.steps = {name: self._isotonic(self.margin(x[names == name]), y[names == name]) for name in np.unique(names).tolist()}
+        return self
+
+    @staticmethod
+    def _isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends and values of the blocks, by pooling neighbours that fall."""
+        order = np.argsort(z, kind="stable")
         blocks: list[list[float]] = []
         for m, v in zip(z[order], y[order], strict=True):
             blocks.append([v, 1.0, m])
-            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            while len(blocks) > 1 and (blocks[-2][2] == blocks[-1][2] or blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]):
                 s, n, last = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, last]
-        self.steps = np.array([b[2] for b in blocks]), np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
-        return self
+        return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        ends, values = self.steps
-        return values[np.minimum(np.searchsorted(ends, self.margin(x), "left"), len(values) - 1)]
+        """Calibrated; 0 in a group that calibration has not seen."""
+        z, out = self.margin(x), np.zeros(len(x))
+        names = np.zeros(len(x)) if self.group is None else x[:, self.group]
+        for name, (ends, values) in self.steps.items():
+            own = names == name
+            out[own] = values[np.minimum(np.searchsorted(ends, z[own], "left"), len(values) - 1)]
+        return out

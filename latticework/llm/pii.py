@@ -1,13 +1,15 @@
-"""Personal data: rules for four kinds, and boosted trees over candidate spans.
+"""Personal data and secrets: rules for four kinds, and boosted trees over candidate spans.
 
 The rules (base spans) always count. Beside them, generators of high recall propose overlapping spans: addresses written
-with "at" and "dot", dotted or bracketed numbers, IPv6-like groups, digit groups with any separators. Boosted trees look at
-a candidate's format (digits, groups, separators, check sums) and context (words before it, characters around it); their
-calibrated probability decides, with a threshold for each kind. A candidate that overlaps a base span or a likelier
-candidate is dropped.
+with "at" and "dot", dotted or bracketed numbers, IPv6-like groups, digit groups with any separators, base spans with what
+belongs to them (a port or mask, an extension), and long codes that may be tokens, keys or passwords (kind secret, which has no
+rule). Boosted trees look at a candidate's format (digits, groups, separators, check sums, entropy) and context (words before
+it, characters around it); their calibrated probability decides, with a threshold for each kind. A candidate that cuts a base
+span, lies in one, or overlaps a likelier candidate is dropped; one that holds base spans of its kind
+within a longer one may stay.
 
 No table holds labelled spans, so the trees learn from sentences made here by a seeded generator: invented words around
-personal data in many spellings, and around look-alikes (versions, dates, prices, order numbers, codes, ISBNs).
+personal data in many spellings, and around look-alikes (versions, dates, prices, order numbers, codes, ISBNs, check sums).
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from .boosting import Boosted
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of all spans: those with rules, then those that only candidates have.
+ALL_KINDS = (*KINDS, "secret")
 #: Least share of true spans among the accepted ones, on the calibration sentences.
 PRECISION = 0.98
 SENTENCES = 6_000
@@ -77,11 +83,16 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-_AT = r"(?:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s(?:at|AT)\s)"
-_DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\.)"
-#: kind, pattern, substrings of the lower-cased text of which one must be there (none: a digit).
+_AT = r"(?:\s?[\[({<]\s?(?:[Aa][Tt]|@)\s?[\])}>]\s?|\s(?:at|AT)\s)"
+_DOT = r"(?:\s?[\[({<]\s?(?:[Dd][Oo][Tt]|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\.)"
+_CODE = r"A-Za-z0-9+/_\-"
+#: kind, pattern, strings of which one stands in every text that the pattern can match, lower-cased (none: a digit does).
 GENERATORS = (
-    ("email", re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}"), ("[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "[@", "(@", "[dot", "(dot", "{dot", " dot ")),
+    ("email", re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}"), ("at", "@")),
+    ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5}|/[0-9]{1,2})(?![0-9A-Za-z])"), ()),
+    ("phone", re.compile(r"\+[0-9][ ().0-9-]{6,24}[0-9][ ,;]{0,2}(?:ext|EXT|Ext|x|X)\.?[ ]?[0-9]{1,6}(?![0-9A-Za-z])"), ()),
+    ("secret", re.compile(rf"(?<![{_CODE}=])(?=[A-Za-z+/_-]{{0,60}}[0-9])[{_CODE}]{{16,256}}={{0,2}}(?![{_CODE}=])"), ()),
+    ("secret", re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|api[ _-]?key|token)[\"']?\s?[:=]\s?[\"']?([^\s\"',;]{6,256})"), ("passw", "pwd", "passphrase", "secret", "key", "token")),
     ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\s?[\[({]\.[\])}]\s?[0-9]{1,3}){3}(?![0-9A-Za-z])"), ("[.]", "(.)", "{.}")),
     ("ip", re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])"), ()),
     ("card", re.compile(r"(?<![0-9A-Za-z.+])[0-9]{4,6}(?:[ ._/-]{1,3}[0-9]{3,7}){2,4}(?![0-9A-Za-z])"), ()),
@@ -92,6 +103,8 @@ GENERATORS = (
 CUES = (
     ("mail", "e-mail", "email", "contact", "write"), ("ip", "host", "server", "address", "addr", "node", "login"), ("card", "visa", "amex", "mastercard", "payment", "paid", "credit"),
     ("phone", "tel", "call", "fax", "mobile", "cell", "telephone", "ring", "dial"),
+    ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api-key", "auth", "bearer", "credential", "credentials", "passphrase", "api", "access"),
+    ("commit", "checksum", "md5", "sha", "digest", "hash", "etag", "uuid", "guid", "revision", "blob", "fingerprint"),
     ("version", "v", "isbn", "order", "invoice", "no", "id", "date", "section", "chapter", "page", "pages", "price", "usd", "eur", "ref", "serial", "build", "release", "figure", "year"),
 )
 _WORDS = re.compile(r"[A-Za-z-]+")
@@ -105,8 +118,14 @@ def candidates(text: str) -> list[Span]:
     out: list[Span] = []
     for kind, pattern, needs in GENERATORS:
         if any(n in low for n in needs) if needs else digit:
-            out += ((m.start() + len(m.group()) - len(m.group().lstrip()), m.end(), kind) for m in pattern.finditer(text))
-    return out
+            group = pattern.groups  # the span is the first group, if there is one
+            out += ((m.start(group) + len(m.group(group)) - len(m.group(group).lstrip()), m.end(group), kind) for m in pattern.finditer(text))
+    return list(dict.fromkeys(out))
+
+
+def _entropy(text: str) -> float:
+    many = np.array([*Counter(text).values()], float) / max(len(text), 1)
+    return float(-(many * np.log2(many)).sum()) if len(text) else 0.0
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -117,12 +136,15 @@ def features(text: str, span: Span) -> list[float]:
     sizes = [len(g) for g in groups[:5]] + [0] * (5 - min(5, len(groups)))
     rest = re.sub("[0-9A-Za-z]", "", own)
     before = [w.lower() for w in _WORDS.findall(text[max(0, start - 32) : start])][-3:]
+    turns = len(re.findall("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", own))
+    gap = re.sub("[A-Za-z]+$", "", text[max(0, start - 4) : start])
     side = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isdigit() else 3 if c.isalpha() else 4 if c in ".,;:!?" else 5
     return [
-        KINDS.index(kind), len(own), len(digits), sum(c.isalpha() for c in own), len(rest), len(set(rest)), len(groups), *sizes, max((int(g[:9]) for g in groups), default=0),
+        ALL_KINDS.index(kind), len(own), len(digits), sum(c.isalpha() for c in own), len(rest), len(set(rest)), len(groups), *sizes, max((int(g[:9]) for g in groups), default=0),
         luhn(digits) if 12 <= len(digits) <= 19 else -1, rest.count("("), rest.count("."), rest.count("-"), rest.count(" "), rest.count(":"), rest.count("/"), rest.count("["),
         own.startswith("+"), own.startswith("00"), own.startswith("0"), own.startswith("("), 1900 <= int(groups[0][:4]) <= 2100 if groups and sizes[0] == 4 else 0,
         *(any(w in cue for w in before) for cue in CUES), side(text[start - 1 : start]), side(text[end : end + 1]), "dot" in own.lower(), re.split(r"[^A-Za-z]", own)[-1].lower() in ENDINGS,
+        _entropy(own), turns, re.fullmatch("[0-9A-Fa-f]+", own) is not None, own.islower() or own.isupper(), own[:4] == "AKIA" or own[:4] in ("ghp_", "xoxb") or own[:3] == "sk-", "=" in gap or ":" in gap, '"' in gap or "'" in gap,
     ]
 
 
@@ -151,6 +173,26 @@ def _sentences(n: int, seed: int) -> Iterator[tuple[str, set[Span]]]:
             return f"{o}.{c}".join(str(r.randint(0, 255)) for _ in range(4))
         return ":".join(f"{r.randint(1, 65535):x}" for _ in range(8))
 
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def hexes() -> str:
+        own = pick("0123456789abcdef", r.choice((32, 40, 40, 48, 64)))
+        return own if r.random() < 0.8 else own.upper()
+
+    def secret() -> str:
+        return r.choice((hexes(), hexes(), "AKIA" + pick(upper + "234567", 16), "ghp_" + pick(lower + upper + "0123456789", 36), "sk-" + pick(lower + upper + "0123456789", 32), pick(lower + upper + "0123456789+/", r.choice((24, 43, 64))) + r.choice(("", "=", "==")), pick(lower + upper + "0123456789!$%*", r.randint(8, 14))))
+
+    def longer() -> tuple[str, str]:
+        """A base span and more."""
+        if r.random() < 0.5:
+            return "ip", ".".join(str(r.randint(0, 255)) for _ in range(4)) + r.choice((f":{r.randint(20, 65000)}", f"/{r.randint(8, 32)}"))
+        return "phone", f"+{num(r.choice((1, 2)))} ({num(3)}) {num(3)}-{num(4)}" + r.choice((" ext. ", " x", " ext ", ", ext. ")) + num(r.randint(2, 5))
+
+    def code() -> str:
+        """A check sum, an identifier, a path, a name."""
+        return r.choice((hexes(), hexes(), f"{pick('0123456789abcdef', 8)}-{pick('0123456789abcdef', 4)}-4{pick('0123456789abcdef', 3)}-{pick('0123456789abcdef', 4)}-{pick('0123456789abcdef', 12)}", f"{word()}/{word()}/{word()}{num(2)}/{word()}", f"{word()}_{word()}_{word()}_{num(2)}", f"{word()}-{word()}-{word()}-{num(1)}", f"{word()}{word()}{word()}{word()}{num(2)}", num(r.randint(16, 24))))
+
     def other() -> str:
         return r.choice((
             f"{r.randint(1900, 2040)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}.{r.randint(1900, 2040)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2040)}",
@@ -162,20 +204,26 @@ def _sentences(n: int, seed: int) -> Iterator[tuple[str, set[Span]]]:
     for _ in range(n):
         words, out, spans = [word() for _ in range(r.randint(6, 14))], "", set()
         put = r.randrange(1, len(words))
-        kind = r.choice((*KINDS, "", "", "", "", "")) or None
-        own = {"email": mail, "ip": ip, "card": card, "phone": phone, None: other}[kind]()
-        cue = CUES[KINDS.index(kind) if kind else 4]
-        if r.random() < (0.75 if kind == "phone" else 0.5):
+        kind = r.choice((*ALL_KINDS, "secret", "longer", "code", "code", "", "", "", "", "", "")) or None
+        own = {"email": mail, "ip": ip, "card": card, "phone": phone, "secret": secret, "longer": longer, "code": code, None: other}[kind]()
+        kind, own = own if kind == "longer" else (kind, own)
+        cue = CUES[ALL_KINDS.index(kind) if kind in ALL_KINDS else 5 if kind == "code" else 6]
+        open_ = close = ""
+        if r.random() < (0.75 if kind == "phone" else 0.95 if kind == "secret" else 0.5):
             words[put - 1] = r.choice(cue) + r.choice(("", ":", "."))
-        elif not kind and r.random() < 0.15:
+        elif kind not in ALL_KINDS and r.random() < 0.15:
             words[put - 1] = r.choice(CUES[r.randrange(4)])
+        if kind == "secret" and r.random() < 0.85 or kind == "code" and r.random() < 0.3:
+            open_, close = r.choice((("= ", ""), ('= "', '"'), ("='", "'"), (": ", ""), (': "', '"')))
+        kind = kind if kind in ALL_KINDS else None
         for i, w in enumerate(words):
             if i == put:
+                out += open_
                 if kind:
                     spans.add((len(out), len(out) + len(own), kind))
-                out += own + r.choice((" ", ". ", ", ", " ", " "))
+                out += own + close + r.choice((" ", ". ", ", ", " ", " ")) if not (kind == "secret" and not close) else own + " "
             out += w + " "
-        yield out, spans
+        yield (out.upper() if r.random() < 0.1 and kind in (None, "secret") else out), spans
 
 
 def train(sentences: int = SENTENCES, seed: int = 7) -> tuple[Boosted, dict[str, float]]:
@@ -187,25 +235,51 @@ def train(sentences: int = SENTENCES, seed: int = 7) -> tuple[Boosted, dict[str,
             truth.append(c in spans)
     x, y = np.array(rows, float), np.array(truth, float)
     fit = np.random.default_rng(seed).random(len(x)) < 0.5
-    model = Boosted().fit(x[fit], y[fit]).calibrate(x[~fit], y[~fit])
+    model = Boosted().fit(x[fit], y[fit]).calibrate(x[~fit], y[~fit], group=0)
     p, kind, y = model.probability(x[~fit]), x[~fit][:, 0], y[~fit]
     least = {}
-    for k, name in enumerate(KINDS):
+    for k, name in enumerate(ALL_KINDS):
         own = [t for t in np.unique(p[kind == k]) if t >= 0.5 and y[(kind == k) & (p >= t)].mean() >= PRECISION]
         least[name] = float(min(own, default=2.0))
     return model, least
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int], list[set[str]]]:
+    """Starts, ends and kinds of the spans' union."""
+    starts, ends, kinds = [], [], []
+    for a, b, kind in spans:  # by start
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+            kinds[-1].add(kind)
+        else:
+            starts.append(a)
+            ends.append(b)
+            kinds.append({kind})
+    return starts, ends, kinds
+
+
 def all_spans(text: str, base: list[Span], model: Boosted, least: dict[str, float]) -> list[Span]:
-    found = [c for c in candidates(text) if not any(b[0] < c[1] and c[0] < b[1] for b in base)]
+    """The base spans (by start) and the candidates that the trees accept, by start, then kind."""
+    starts, ends, kinds = _merged(base)
+
+    def free(c: Span) -> bool:
+        """Whether a candidate meets no base span, or only some of its kind, holds all of them, and more."""
+        i, j = bisect_right(ends, c[0]), bisect_left(starts, c[1])
+        return i >= j or (c[0] <= starts[i] and ends[j - 1] <= c[1] and (c[0], c[1]) != (starts[i], ends[j - 1]) and all(k == {c[2]} for k in kinds[i:j]))
+
+    found = [c for c in candidates(text) if free(c)]
     if not found:
         return base
     p = model.probability(np.array([features(text, c) for c in found], float))
-    out = list(base)
-    for q, c in sorted(zip(-p, found, strict=True), key=lambda t: (t[0], t[1][0] - t[1][1], t[1][0], KINDS.index(t[1][2]))):
-        if -q >= least[c[2]] and not any(b[0] < c[1] and c[0] < b[1] for b in out):
+    out, taken = list(base), []
+    for q, c in sorted(zip(-p, found, strict=True), key=lambda t: (t[0], t[1][0] - t[1][1], t[1][0], ALL_KINDS.index(t[1][2]))):
+        if -q < least[c[2]]:
+            continue
+        at = bisect_right(taken, (c[0], c[1]))
+        if not (at and taken[at - 1][1] > c[0]) and not (at < len(taken) and taken[at][0] < c[1]):
+            insort(taken, (c[0], c[1]))
             out.append(c)
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(out, key=lambda s: (s[0], ALL_KINDS.index(s[2])))
 
 
 def written(spans: list[Span]) -> str:
@@ -225,7 +299,8 @@ def redacted(text: str, spans: list[Span]) -> str:
 def find(docs: DataFrame, redact: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
 
-    A null text counts as empty: no spans. redact adds the column redacted, null where text is null. Repeated rows, null ids
+    A null text counts as empty: no spans. A text is read whole, in time in proportion to its length (and to the logarithm of its
+    number of spans). redact adds the column redacted, null where text is null. Repeated rows, null ids
     and other columns (left out) are fine.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(train())
