@@ -11,7 +11,6 @@ one matrix product.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +22,11 @@ WINDOW = 256
 WIDTHS = {2: 8, 3: 12, 4: 12}
 VECTOR = 8
 UNKNOWN = "und"
-#: Training takes at most so many texts in all, of so many languages, and so many windows of each text.
+#: Training takes at most so many texts in all (one of each language at least), and so many windows of each text.
 SAMPLE_DOCS = 4_000
-MAX_LANGUAGES = 1_000
 SAMPLE_WINDOWS = 8
 _BATCH = 256
 _WIDEST = max(WIDTHS)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -123,13 +120,14 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ranks, pa.int64()), pa.array(rows, pa.binary())], ["lang", "rank", "bytes"])
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> Network | None:
-    """A network from docs(doc_id, text, lang); None if no row has a text with a letter and a lang.
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
+    """A network from docs(doc_id, text, lang) for every lang in them; None if no row has a text with a letter and a lang.
 
-    Takes an even share of sample_docs texts of each lang, those with the smallest hashes of id and text.
+    Takes an even share of sample_docs texts of each lang (one at least), those with the smallest hashes of id and text, and of
+    each text SAMPLE_WINDOWS windows, evenly spaced from its first to its last.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("doc_id", "text").alias("rank"))
-    many = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    many = rows.groupBy("lang").count().collect()  # a row for each language
     if not many:
         return None
     share = max(1, sample_docs // len(many))
@@ -147,8 +145,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int =
 def predict(docs: DataFrame, network: Network | None, held_out) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, held_out, lang_pred, score.
 
-    lang_pred is UNKNOWN with score 0 where the text is null or has no letter, or where there is no network.
-    Ids, langs and sources play no part; repeated rows, null ids and other columns are fine.
+    lang_pred is UNKNOWN with score 0 where the text is null or has no letter (Unicode category L; numerals such as Roman ones
+    or fractions are none), or where there is no network. Every window of a text is read, however long it is; a text's windows
+    are held at once, 256 at a time go through the network. Ids, langs and sources play no part; repeated rows, null ids and
+    other columns are fine; an empty table gives an empty one.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, network: Network | None, held_out) -> DataFrame:
         for batch in batches:
             values = batch.column(1).to_pylist()
             langs, scores = [UNKNOWN] * len(values), np.zeros(len(values))
-            known = [i for i, t in enumerate(values) if net and t and _LETTER.search(t)]
+            known = [i for i, t in enumerate(values) if net and t and any(map(str.isalpha, t))]
             at = 0
             while at < len(known):  # a few MB of text at a time
                 to, size, parts = at, 0, []
