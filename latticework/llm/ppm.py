@@ -260,7 +260,7 @@ def score(docs: DataFrame, held_out, max_frequent: int = MAX_FREQUENT) -> DataFr
     docs are ignored.
 
     Words among the max_frequent commonest are looked up in a broadcast dictionary; the others go through a shuffled join
-    on the word, keyed by the text's digest, so that equal texts meet nowhere.
+    on the word, keyed by the text's digest and listed once a partition, so that copies of a text make no hot key.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -282,19 +282,30 @@ def score(docs: DataFrame, held_out, max_frequent: int = MAX_FREQUENT) -> DataFr
     known = sc.broadcast((frequent, total, distinct))
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = known.value[0]
+        """(key, word, times, first) of a partition's distinct texts; first: 1 in one row of each text listed, else 0."""
+        common, seen = known.value[0], set()
+        keys, words, times, first = [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(first, pa.int64())], ["key", "word", "times", "first"])
+
         for batch in batches:
-            keys, words, times = [], [], []
             for text in texts(batch.column(0)):
                 own = Counter(w for w in text.translate(LOWER).split() if w not in common)
-                if own:
-                    keys += [hashlib.md5(text).digest()] * len(own)
-                    words += own.keys()
-                    times += own.values()
+                key = hashlib.md5(text).digest() if own else b""
+                if not own or key in seen:
+                    continue
+                if len(seen) > _FLUSH // 2:
+                    seen.clear()
+                seen.add(key)
+                keys += [key] * len(own)
+                words += own.keys()
+                times += own.values()
+                first += [1] + [0] * (len(own) - 1)
                 if len(words) > _FLUSH // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["key", "word", "times"])
-                    keys, words, times = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["key", "word", "times"])
+                    yield out()
+                    keys, words, times, first = [], [], [], []
+        yield out()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, n_all, v_all = known.value
@@ -336,14 +347,12 @@ def score(docs: DataFrame, held_out, max_frequent: int = MAX_FREQUENT) -> DataFr
     both = docs.select("doc_id", "text", "held_out", blank("long").alias("gram"), blank("double").alias("log"), "block").union(answers)
     both = both.repartitionById(blocks, F.col("block")).sortWithinPartitions(F.isnull("gram")).drop("block")  # one block in each, its grams first
     rows = both.mapInArrow(scored, f"doc_id {id_type.simpleString()}, held_out boolean, key binary, n_tokens long, n_known long, base double, score double")
-    copies = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key")).groupBy("key").agg(F.count("*").alias("copies"))
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
     rare = (
-        docs.select("text").mapInArrow(rare_words, "key binary, word binary, times long")
+        docs.select("text").mapInArrow(rare_words, "key binary, word binary, times long, first long")
         .join(counts.where(level < floor), "word", "left")
-        .groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("rare_known"), F.sum(F.col("times") * each).alias("rare_base"))
-        .join(copies, "key")
-        .select("key", F.expr("coalesce(rare_known, 0) div copies").alias("rare_known"), (F.col("rare_base") / F.col("copies")).alias("rare_base"))
+        .groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("rare_known"), F.sum(F.col("times") * each).alias("rare_base"), F.sum("first").alias("listed"))
+        .select("key", F.expr("coalesce(rare_known, 0) div listed").alias("rare_known"), (F.col("rare_base") / F.col("listed")).alias("rare_base"))
     )
     return rows.join(rare, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
