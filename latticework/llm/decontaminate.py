@@ -15,11 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, stored
+
 MASKS = ("11101011", "1011000111")
 #: For items shorter than WINDOW.
 SHORT_MASK = "1111"
 WINDOW = 13
 MAX_SEEDS = 1_000_000
+#: Findings (a text and an item) that are broadcast to the documents; more are joined by a shuffle.
+MAX_FOUND = 500_000
 #: Positions that a text is cut into at a time, and tokens that a window around a seed can reach.
 _CHUNK = 64
 _REACH = 2 * WINDOW - 1
@@ -86,7 +90,7 @@ def find(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> D
 
     One row for each row of docs: repeated rows and null or repeated ids are fine, as texts are told apart by their digest. A
     null or empty text is clean; null items are ignored; an empty benchmark finds nothing. Columns of docs named like a
-    result are replaced.
+    result are replaced, other names are free.
     """
     names = ["contaminated", "n_items", "items", "best_match"]
     docs = docs.drop(*names)
@@ -100,11 +104,13 @@ def find(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> D
     most = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(_REACH + 1) - span), lambda s: F.length(F.replace(F.col("bits").substr(s, span), F.lit("0"), F.lit("")))))
     allowed = F.when(F.col("size") >= WINDOW, 2).when(F.col("size") >= 8, 1).otherwise(0)
     found = hits.withColumn("best", most).where(F.col("best") >= span - allowed)
-    found = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("_ids"), F.max("best").alias("_best"))
-    out = docs.withColumn("_key", digest).join(found.withColumnRenamed("key", "_found"), F.col("_key") == F.col("_found"), "left")
+    key, own, ids, most = fresh(docs, "text_digest", "found_digest", "found_ids", "found_most")
+    found = stored(found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias(ids), F.max("best").alias(most)), "found").withColumnRenamed("key", own)
+    few = (found.agg(F.sum(F.size(ids))).first()[0] or 0) <= MAX_FOUND
+    out = docs.withColumn(key, digest).join(F.broadcast(found) if few else found, F.col(key) == F.col(own), "left")
     return out.select(
-        *[f"`{c}`" for c in docs.columns], F.col("_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.array_join(F.col("_ids").cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce("_best", F.lit(0)).cast("long").alias("best_match"),
+        *[f"`{c}`" for c in docs.columns], F.col(ids).isNotNull().alias("contaminated"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.array_join(F.col(ids).cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce(most, F.lit(0)).cast("long").alias("best_match"),
     )
 
 

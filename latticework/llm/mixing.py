@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MAX_MEAN = 500.0
 #: More sources than this are joined by a shuffle instead of a broadcast.
 MAX_SOURCES = 10_000
@@ -56,19 +58,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, ratio: float =
     order of mix_key within and at random across partitions.
 
     Rows equal in id and text are repeated alike; null ids and texts are hashed as such; columns of docs named like a result
-    are replaced; an empty table gives an empty one.
+    are replaced, other names are free; an empty table gives an empty one.
     """
     docs = docs.drop("copy", "n_copies", "mix_key")
     table = rates(docs, weights, ratio)
-    table = table.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("steps").alias("_steps"))
+    source, parts, steps, name, u = fresh(docs, "own_source", "parts", "steps", "own_name", "draw")
+    table = table.select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("steps").alias(steps))
     many = docs.select("source").distinct().limit(max_sources + 1).count()
     own = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    key = docs.withColumn("_own", own).join(F.broadcast(table) if many <= max_sources else table, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda a, j: a + F.size(F.filter("_steps", lambda c: _chance(F.col("_own"), j.cast("string")) >= c)))
-    first = F.size(F.filter(F.transform("_steps", lambda c: c <= F.col("_u")), lambda hit: hit))
-    counted = key.withColumn("_u", _chance(F.col("_own"), F.lit("0"))).withColumn("n_copies", F.when(F.col("_parts") == 1, first).otherwise(drawn).cast("long"))
+    key = docs.withColumn(name, own).join(F.broadcast(table) if many <= max_sources else table, F.col("source").eqNullSafe(F.col(source)))
+    drawn = F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda a, j: a + F.size(F.filter(steps, lambda c: _chance(F.col(name), j.cast("string")) >= c)))
+    first = F.size(F.filter(F.transform(steps, lambda c: c <= F.col(u)), lambda hit: hit))
+    counted = key.withColumn(u, _chance(F.col(name), F.lit("0"))).withColumn("n_copies", F.when(F.col(parts) == 1, first).otherwise(drawn).cast("long"))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    dealt = copies.withColumn("mix_key", F.md5(F.concat_ws("|", "_own", F.lit("copy"), F.col("copy").cast("string")).cast("binary")))
+    dealt = copies.withColumn("mix_key", F.md5(F.concat_ws("|", name, F.lit("copy"), F.col("copy").cast("string")).cast("binary")))
     return dealt.select(*[f"`{c}`" for c in docs.columns], "copy", "n_copies", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 
 

@@ -155,7 +155,7 @@ def assess(docs: DataFrame, labels: DataFrame | None, max_trusted: int = MAX_TRU
     base_failed, kept, llr (mean log2 ratio), then the other columns of docs.
 
     base_failed: fewer than 10 words, or over 20 % of the words repeated. A null text counts as empty and fails; a text
-    without n-grams has llr 0. Columns of docs that are named like a result are left out. No labels, or none of the ids in
+    without n-grams has llr 0. Columns of docs that are named like a result, in any case, are left out. No labels, or none of the ids in
     them among docs: every ratio is 0 and the base rules decide. threshold: the least mean in multiples of 2^-16 instead of that
     from the labels.
     """
@@ -164,7 +164,7 @@ def assess(docs: DataFrame, labels: DataFrame | None, max_trusted: int = MAX_TRU
     shipped = docs.sparkSession.sparkContext.broadcast(ratio)
     found = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
     names = [f.split()[0] for f in found.split(", ")]
-    rest = [c for c in docs.columns if c not in names]
+    rest = [c for c in docs.columns if c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shipped.value

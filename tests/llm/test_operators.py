@@ -172,10 +172,10 @@ def test_warc(spark):
         elif kind == 0 or (kind == 1 and whole):
             want[(p.page_id, "modified")] += 1
     assert Counter((x.record_id, x.status) for x in out.collect()) == want
-    a = spark.createDataFrame([(1, 0, 5, "a"), (2, 5, 5, "b"), (2, 5, 5, "b"), (None, 100, 1, "c")], "record_id long, offset long, length long, digest string")
+    a = spark.createDataFrame([(1, 0, 5, "a"), (2, 5, 5, "b"), (2, 10, 5, "b"), (None, 100, 1, "c")], "record_id long, offset long, length long, digest string")
     assert warc.audit(a, a, 8).count() == 0 and warc.audit(a.limit(0), a.limit(0)).count() == 0
     b = spark.createDataFrame([(1, 0, 5, "x"), (2, 5, 5, "b"), (None, 100, 1, "c"), (9, 5000, 1, "d")], a.schema)
-    assert got(warc.audit(a, b, 8), "record_id", "offset", "status") == [(1, 0, "modified"), (2, 5, "missing"), (9, 5000, "extra")]
+    assert got(warc.audit(a, b, 8), "record_id", "offset_a", "offset_b", "status") == [(1, 0, 0, "modified"), (2, 10, None, "missing"), (9, None, 5000, "extra")]
     total = warc.offsets(a.drop("offset")).orderBy("offset").collect()
     assert [(x.record_id, x.offset) for x in total] == [(None, 0), (1, 1), (2, 6), (2, 11)]
 
