@@ -37,8 +37,8 @@ LOCAL_COMMON, COMMON, MAX_COMMON = 4, 16, 200_000
 LONG = 16
 #: More keys than this are joined by a shuffle instead of a broadcast.
 MAX_KEYS = 500_000
-_TOKENS = 3_000_000
-_CACHE = 200_000
+_TOKENS = 1_500_000
+_CACHE = 60_000
 _PAIRS = 500_000
 #: Rounds that join a tile's components by few pairs before all pairs across them: at most so many, and another one only after
 #: more links than this.
@@ -416,6 +416,8 @@ def join(docs: DataFrame, marks: bool = False) -> DataFrame:
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link. The arrays of sets asked for before are not made again."""
         side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}"))
+        if pairs.isEmpty():
+            return pairs
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
         near = stored(near.mapInArrow(bounded, "a long, b long"), "near")
         wanted = near.select(F.col("a").alias("key")).union(near.select("b")).distinct().join(sets.select("key", "text_key"), "key")

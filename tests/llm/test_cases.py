@@ -62,8 +62,9 @@ def test_stars_and_joined(spark):
     assert label(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == want
     edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").repartition(4)
     first, rest = edges.where("a % 2 = 0"), edges.where("a % 2 = 1")
-    known = {r.node: r.component for r in graph.joined(graph.components(first), rest).collect()}
-    assert all(known.get(x, x) == p for x, p in enumerate(want))
+    for local in (0, 100, 10_000):
+        known = {r.node: r.component for r in graph.joined(graph.components(first, local), rest, local).collect()}
+        assert all(known.get(x, x) == p for x, p in enumerate(want)) and len(known) == len({*a.tolist(), *b.tolist()} - {x for x in range(300) if all(p == q for p, q in zip(a, b, strict=True) if x in (p, q))})
     assert graph.joined(graph.components(edges.limit(0)), edges.limit(0)).count() == 0
 
 
