@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import answers, uri
 from .operators import attach, baselines, evaluate, lookup, pulls, records, skeleton, taxonomy, timeseries, traverse, view
+from .plans import model
+from .plans.ablations import Ablations
 from .plans.selection import Graph, rule_pulls, select
-from .shared import stored
-from .sources import fixture
+from .shared import drawn_sql, shared_dir, stored
+from .sources import fixture, graphs
 from .sources.graphs import normalize_edges, normalize_nodes
 
 _graphs: dict[tuple[str, str], Graph] = {}
@@ -35,8 +37,9 @@ def spined(spark: SparkSession, sf_dir: str) -> tuple[Graph, view.Spine, DataFra
     return g, *_spines[key]
 
 
-def _of_class(g: Graph, *classes: str) -> DataFrame:
-    return g.skeleton.nodes.where(F.col("brick_class").isin(*classes)).select(F.col("node_id").alias("start"), F.col("node_id").alias("node"))
+def _all(g: Graph) -> DataFrame:
+    """Every structural node as a start."""
+    return g.skeleton.nodes.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"))
 
 
 def _values(rows) -> str:
@@ -173,17 +176,81 @@ def _wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulls.resolved_counts(asked, kept).select("target", "pull_ord", "expand", "n_resolved")
 
 
-_ANSWERS = (
-    ("fenced", '```json\n{"pulls": [{"anchor": "A1", "expand": "self", "point_class": "", "reason": "r"}], "summary": "s"}\n```'),
-    ("bare", 'I pick nothing: {"pulls": [], "summary": "none"} so'),
-    ("broken", '```json\n{"pulls": [}\n```'),
-    ("empty", ""),
-)
+def _parsed(g: Graph) -> DataFrame:
+    """Answers of four kinds, dealt to the targets: fenced, bare, broken, empty."""
+    fenced = F.concat(F.lit('```json\n{"pulls": [{"anchor": "A1", "expand": "self", "point_class": "'), "target_class", F.lit('", "reason": "r"}], "summary": "'), "target", F.lit('"}\n```'))
+    kind = F.col("node_ord") % 4
+    content = F.when(kind == 0, fenced).when(kind == 1, 'I pick nothing: {"pulls": [], "summary": "none"} so').when(kind == 2, '```json\n{"pulls": [}\n```').otherwise("")
+    x = g.targets.withColumn("a", answers.parse(content))
+    return x.select("target", F.coalesce(F.size("a.pulls"), F.lit(-1)).alias("n_pulls"), "a.summary")
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.createDataFrame(list(_ANSWERS), "name string, content string").withColumn("a", answers.parse(F.col("content")))
-    return x.select("name", F.size("a.pulls").alias("n_pulls"), "a.summary")
+_asked_before: set[str] = set()
+
+
+def _trial(system: str, user: str) -> str:
+    """A model for trials: by the last digit of what it is asked, an answer, one after an overload, or a refusal."""
+    kind = int(user[-1]) % 3
+    if kind == 2:
+        raise ValueError("refused")
+    if kind == 1 and user not in _asked_before:
+        _asked_before.add(user)
+        raise OSError("429: slow down")
+    return f'{{"pulls": [], "summary": "{user}"}}'
+
+
+def _answers(g: Graph) -> DataFrame:
+    return model.chat(_trial, delays=(0, 0))(g.targets.select("target", F.col("target").alias("context")))
+
+
+def _ablation_records(g: Graph) -> DataFrame:
+    """The records of a strategy as they are read back."""
+    at = f"{shared_dir(g.nodes.sparkSession)}/ablation"
+    graphs.write_records(Ablations(g, ["1hop"]).records("1hop"), at, "demo", "1hop", "json")
+    out = graphs.read_records(g.nodes.sparkSession, at, "demo", "1hop", "json", "target_uri string, target_class string, nodes array<string>, n_leaves int, leaves array<string>, llm_used boolean, sampler string")
+    return out.select("target_uri", "target_class", F.size("nodes").alias("n_nodes"), "n_leaves", F.array_join("leaves", ",").alias("leaves"), "llm_used", "sampler")
+
+
+def _reread(g: Graph) -> DataFrame:
+    """The skeleton's edges as they are read back."""
+    at = f"{shared_dir(g.nodes.sparkSession)}/skeleton"
+    graphs.write_skeleton(g.skeleton, at)
+    return graphs.read_skeleton(g.nodes.sparkSession, at).edges.select("src", "rel", "dst")
+
+
+def _picked_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _resolved(spark, sf_dir)[3]
+    return view.histogram_text(kept.groupBy("target", "leaf_class").agg(F.count("*").alias("n")), ["target"], "leaf_class", 1 << 30)
+
+
+# Fixed table: which nodes some sensors of the demonstration stand for.
+SENSORS = (("signup", "b/x#oat0"), ("view", "b/x#oat1"), ("purchase", "b/x#ord1"), ("error", "b/x#ord2"))
+_COVARIATE = "signup"
+
+
+def _sensor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sensors = _readings(spark, sf_dir).select("sensor_id").union(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("site.dev"), (F.col("user_id") % 10).cast("string"), F.lit(".u"), F.col("user_id").cast("string"))))
+    return timeseries.on_nodes(sensors, graph(spark, sf_dir).nodes, spark.createDataFrame(SENSORS, "sensor_id string, node_id string"))
+
+
+def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, sensor_id, availability) of the event types, each a covariate of each."""
+    own = _sensor_nodes(spark, sf_dir).join(_readings(spark, sf_dir).select("sensor_id").distinct(), "sensor_id", "left_semi")
+    own = stored(own.select("sensor_id", timeseries.availability(F.col("brick_class")).alias("availability"), F.lit(1).alias("k")), "roles")  # a row for each event type
+    return own.select(F.col("sensor_id").alias("target"), "k").join(own, "k").select("target", "sensor_id", "availability")
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = stored(_filled(spark, sf_dir), "filled")
+    read = timeseries.inputs(x, timeseries.windows(x, LOOKBACK, HORIZON, STRIDE), _roles(spark, sf_dir))
+    return read.groupBy("target", "sensor_id").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"), F.max(F.col("step") - F.col("origin")).alias("latest"))
+
+
+def _role_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the future-known covariate gains over the same forecast without its future."""
+    x = stored(_filled(spark, sf_dir), "filled")
+    w = timeseries.windows(x, LOOKBACK, HORIZON, STRIDE)
+    return evaluate.gain(evaluate.errors(evaluate.with_future(x, w, _COVARIATE), x), evaluate.errors(evaluate.persistence(x, w), x))
 
 
 def _contexts(g: Graph, own: view.Spine, listed: DataFrame) -> DataFrame:
@@ -226,20 +293,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_members": _simple(lambda g: g.members),
     "cluster_peers": _simple(lambda g: attach.cluster_peers(g.members)),
     "cluster_histogram": _simple(lambda g: attach.cluster_histogram(g.members)),
-    "up_cone_nodes": _simple(lambda g: traverse.up_cone(g.skeleton, _of_class(g, "HVAC_Zone"))),
-    "up_cone_edges": _simple(lambda g: traverse.cone_edges(g.skeleton, traverse.up_cone(g.skeleton, _of_class(g, "HVAC_Zone"), 3), 3)),
-    "subtree_nodes": _simple(lambda g: traverse.subtree(g.skeleton, _of_class(g, "Building", "Floor", "AHU")).select("start", "node")),
-    "primary_path": _simple(lambda g: traverse.primary_path(g.skeleton, _of_class(g, "HVAC_Zone")).select("start", F.array_join("path", ">").alias("path"))),
-    "reaches_root": _simple(lambda g: traverse.reaches_root(g.skeleton, traverse.up_cone(g.skeleton, _of_class(g, "HVAC_Zone")))),
+    "up_cone_nodes": _simple(lambda g: traverse.up_cone(g.skeleton, _all(g))),
+    "up_cone_edges": _simple(lambda g: traverse.cone_edges(g.skeleton, traverse.up_cone(g.skeleton, _all(g)))),
+    "subtree_nodes": _simple(lambda g: traverse.subtree(g.skeleton, _all(g)).select("start", "node")),
+    "primary_path": _simple(lambda g: traverse.primary_path(g.skeleton, _all(g)).select("start", F.array_join("path", ">").alias("path"))),
+    "reaches_root": _simple(lambda g: traverse.reaches_root(g.skeleton, traverse.up_cone(g.skeleton, _all(g)))),
     "spine_roots": _viewed(lambda g, own, _: view.roots_reached(g.skeleton, own)),
     "ancestry_order": _viewed(lambda g, own, _: view.ancestry_order(g.skeleton, own)),
-    "points_under_self": _simple(lambda g: attach.points_under(g.attached, _of_class(g, "HVAC_Zone", "Building", "Unknown_Ext")).select("start", "leaf", "leaf_class")),
-    "points_under_subtree": _simple(lambda g: attach.points_under(g.attached, traverse.subtree(g.skeleton, _of_class(g, "Floor"))).groupBy("start", "leaf_class").agg(F.count("*").alias("n"))),
+    "points_under_self": _simple(lambda g: attach.points_under(g.attached, _all(g)).select("start", "leaf", "leaf_class")),
+    "points_under_subtree": _simple(lambda g: attach.points_under(g.attached, traverse.subtree(g.skeleton, _all(g))).groupBy("start", "leaf_class").agg(F.count("*").alias("n"))),
     "cohort_size": _viewed(lambda g, _, listed: view.cohorts(g.targets, listed.where("section = 'parent'").select("target", "node").distinct(), g.attached, g.skeleton).select("target", "node", "n")),
     "global_hosts": _simple(lambda g: view.global_hosts(g.skeleton, g.attached)),
     "view_anchors": _viewed(lambda g, own, listed: view.anchors(listed)),
     "context_text": _viewed(_contexts),
-    "parse_pulls": _parsed,
+    "parse_pulls": _simple(_parsed),
+    "selector_answers": _simple(_answers),
+    "picked_classes": _picked_classes,
+    "skeleton_reread": _simple(_reread),
+    "ablation_records": _simple(_ablation_records),
+    "ablation_summary": _simple(lambda g: Ablations(g).summary()),
+    "control_points": _simple(lambda g: lookup.contexts(g.nodes, control_points=False)),
     "pull_self": _pull("self"),
     "pull_subtree": _pull("subtree"),
     "pull_building": _pull("building"),
@@ -254,7 +327,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "khop_2": _hops(2),
     "khop_3": _hops(3),
     "same_class": _simple(lambda g: baselines.same_class_sizes(g.targets, g.nodes)),
-    "random_matched": _simple(lambda g: baselines.random_matched(g.targets, g.nodes, baselines.hops(g.targets, g.nodes, g.edges, 2).groupBy("target").agg(F.count("*").alias("n")))),
+    "random_matched": _simple(lambda g: baselines.random_matched(g.targets, g.nodes, baselines.hops(g.targets, g.nodes, g.edges, 2).groupBy("target").agg(F.count("*").alias("n"))).select("target", "leaf")),
+    "sensor_nodes": _sensor_nodes,
+    "site_filter": lambda s, d: timeseries.of_sites(s.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.lit("site_"), (F.col("user_id") % 3).cast("string")).alias("site")), ["site_0", "site_2"]),
+    "ts_between": lambda s, d: timeseries.between(s.read.parquet(f"{d}/events.parquet").select("event_id", "ts"), "2024-01-05", "2024-01-20").select("event_id"),
+    "ts_inputs": _inputs,
     "ts_grid": lambda s, d: _rounded(_hourly(s, d), "value"),
     "ts_missing_ratio": lambda s, d: _rounded(timeseries.missing_ratio(_hourly(s, d)), "missing_ratio"),
     "ts_retained": lambda s, d: _rounded(timeseries.retained(_hourly(s, d), least_valid=100), "value"),
@@ -265,12 +342,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ts_split": lambda s, d: _readings(s, d).groupBy("sensor_id", timeseries.calendar_split(F.col("ts"), "2024-01-01", 1, 1, 1).alias("split")).agg(F.count("*").alias("n")),
     "ts_windows": lambda s, d: timeseries.windows(_hourly(s, d), LOOKBACK, HORIZON, STRIDE),
     "ts_availability": _simple(lambda g: g.nodes.where("has_ts").groupBy("brick_class", timeseries.availability(F.col("brick_class")).alias("availability")).agg(F.count("*").alias("n"))),
-    "ts_noise": lambda s, d: timeseries.noisy(_filled(s, d), 1.0),
+    "ts_noise": lambda s, d: _rounded(timeseries.noisy(_filled(s, d), 1.0), "value"),
     "fc_persistence": lambda s, d: _rounded(_forecast("persistence")(s, d), "actual", "forecast"),
     "fc_snaive": lambda s, d: _rounded(_forecast("seasonal")(s, d), "actual", "forecast"),
     "fc_error": lambda s, d: _rounded(_errors(s, d), "nmae", "nmse"),
-    "fc_error_by_class": lambda s, d: _rounded(evaluate.errors_by(_errors(s, d), _readings(s, d).select("sensor_id").distinct().withColumn("kind", F.substring("sensor_id", 1, 1)), "kind"), "nmae", "nmse"),
+    "fc_error_by_class": lambda s, d: _rounded(evaluate.errors_by(_errors(s, d), _sensor_nodes(s, d), "brick_class"), "nmae", "nmse"),
     "fc_gain": lambda s, d: _rounded(evaluate.gain(_errors(s, d), _errors(s, d, "seasonal")), "nmae_gain", "nmse_gain"),
+    "fc_role_gain": lambda s, d: _rounded(_role_gain(s, d), "nmae_gain", "nmse_gain"),
 }
 
 _FRAG = lambda c: f"case when contains({c}, '#') then substr({c}, instr({c}, '#') + 1) else regexp_extract({c}, '[^/]*$') end"
@@ -370,6 +448,33 @@ ep as (select sensor_id, count(*) n, avg(abs(actual - forecast)) / any_value(sd)
 es as (select sensor_id, count(*) n, avg(abs(actual - forecast)) / any_value(sd) nmae, avg((actual - forecast) ** 2) / (any_value(sd) * any_value(sd)) nmse from fs join sd using (sensor_id) where actual is not null and forecast is not null group by 1)
 """.replace("case when lag(low) over (partition by sensor_id order by step) is not distinct from low then 0 else 1 end) over (partition by sensor_id order by step) run from o2", "case when pl is not distinct from low then 0 else 1 end) over (partition by sensor_id order by step) run from (select *, lag(low) over (partition by sensor_id order by step) pl from o2)").replace("case when v is null or lag(v) is null or v <> lag(v) then", "case when v is null or lag is null or v <> lag then")
 
+_TS_PART = _TS.removeprefix("with ").rstrip() + ",\n"
+_SENSOR = f"ovs(sensor_id, node_id) as (values {_values(SENSORS)}),\n"
+_NEAR = f"""both_ways as (select src a, dst b from edges union select dst, src from edges),
+hop0 as (select target, target node, 0 h from targets),
+hop1 as (select n.target, n.node, 1 h from (select distinct target, b node from hop0 join both_ways on a = node) n anti join hop0 v on v.target = n.target and v.node = n.node),
+hop2 as (select n.target, n.node, 2 h from (select distinct target, b node from hop1 join both_ways on a = node) n anti join (select target, node from hop0 union all select target, node from hop1) v on v.target = n.target and v.node = n.node),
+hop3 as (select n.target, n.node, 3 h from (select distinct target, b node from hop2 join both_ways on a = node) n anti join (select target, node from hop0 union all select target, node from hop1 union all select target, node from hop2) v on v.target = n.target and v.node = n.node),
+hop123 as (select x.* from (select * from hop1 union all select * from hop2 union all select * from hop3) x join nodes on node_id = node where has_ts),
+hop12 as (select * from hop123 where h <= 2),
+pool as (select leaf, row_number() over (order by x, leaf) place from (select node_id leaf, {drawn_sql("'0|' || node_id")} x from nodes where has_ts)),
+"""
+_SHORT = lambda c: f"substr(regexp_extract({_FRAG(c)}, '[^.]*$'), 1, 14)"
+_HEAD = lambda section, end=" || chr(10)": "'" + view.HEADINGS[section].replace("'", "''") + "'" + end
+_HIST = "string_agg(leaf_class || '×' || n, ', ' order by p) filter (where p <= 12) || case when count(*) > 12 then ', +' || (count(*) - 12) || ' more' else '' end"
+_TEXTS = f"""ranked as (select *, row_number() over (partition by target order by a, b, h, c, node, rel) o from listed),
+als as (select target, node, 'A' || row_number() over (partition by target order by min(o)) alias from ranked group by 1, 2),
+own_text as (select node, {_HIST} own from (select *, row_number() over (partition by node order by n desc, leaf_class) p from (select parent node, leaf_class, count(*) n from att group by 1, 2)) group by 1),
+mate_text as (select target, {_HIST} mates from (select *, row_number() over (partition by target order by n desc, leaf_class) p from (select a.leaf target, b.leaf_class, count(*) n from flags join clus a on a.leaf = target join clus b using (cluster_key) where orphan and a.leaf <> b.leaf group by 1, 2)) group by 1),
+kin_text as (select target, node, count(*) || ' ' || any_value(target_class) || ' peers: ' || string_agg({_SHORT('leaf')}, ', ' order by p) filter (where p <= 5) || case when count(*) > 5 then ' (+' || (count(*) - 5) || ')' else '' end kin
+  from (select target, target_class, node, leaf, row_number() over (partition by target, node order by e) p from (select distinct target, node from listed where section = 'parent') join targets using (target)
+    join (select s node, leaf, leaf_class, min(edge_ord) e from down join att on att.parent = down.node group by 1, 2, 3) d using (node) where leaf_class = target_class and leaf <> target) group by 1, 2),
+texts as (select r.target, o, section, case section when 'host' then 'on target node ' || lab || coalesce(': self={{' || own || '}}', '') when 'parent' then '  via ' || rel || ' <- ' || lab || coalesce('  = ' || kin, '') || coalesce('  self={{' || own || '}}', '')
+    when 'up' then '      ^up ' || lab || case when isroot then ' (root)' else '' end || coalesce('  self={{' || own || '}}', '') when 'cluster' then '  [' || alias || '] cluster (expand=cluster): ' || coalesce(mates, '') else '  ' || lab || coalesce(': ' || own, '') end t
+  from (select ranked.*, alias, '[' || alias || '] ' || coalesce(sn.brick_class, '') || '(' || {_SHORT('ranked.node')} || ')' lab, ranked.node in (select node_id from roots) isroot from ranked join als using (target, node) left join sn on sn.node_id = ranked.node) r
+  left join own_text using (node) left join mate_text using (target) left join kin_text on kin_text.target = r.target and kin_text.node = r.node),
+"""
+
 SQL: dict[str, str] = {
     "flagship": _q("select t.target, p.parent, count(*) - max(case when leaf = t.target then 1 else 0 end) n_peers from (select target, min_by(parent, branch) parent from flags join par using (host) where rel = 'feeds' group by 1) p join targets t using (target) join (select distinct s, leaf, leaf_class from down join att on att.parent = down.node) d on d.s = p.parent and d.leaf_class = t.target_class group by 1, 2 having n_peers > 0"),
     "kg_node_types": _q("select brick_class, count(*) n, sum(has_ts::int)::bigint n_ts from nodes group by 1"),
@@ -397,20 +502,20 @@ SQL: dict[str, str] = {
     "attach_points": _q("select parent, leaf, leaf_class from att"),
     "host_histogram": _q("select parent, leaf_class, count(*) n from att group by 1, 2"),
     "hosts_of_class": _q("select distinct leaf_class, parent from att"),
-    "orphan_leaves": _q("select node_id leaf from nodes where has_ts and node_id not in (select leaf from att)"),
+    "orphan_leaves": _q("select node_id leaf from nodes anti join att on leaf = node_id where has_ts"),
     "skeleton_orphans": _q("select leaf from clus"),
     "cluster_members": _q("select leaf, cluster_key, leaf_class from clus"),
     "cluster_peers": _q("select a.leaf, b.leaf peer, b.leaf_class peer_class from clus a join clus b using (cluster_key) where a.leaf <> b.leaf"),
     "cluster_histogram": _q("select a.leaf, b.leaf_class peer_class, count(*) n from clus a join clus b using (cluster_key) where a.leaf <> b.leaf group by 1, 2"),
-    "up_cone_nodes": _q("select s start, node, h from up join sn on node_id = s where brick_class = 'HVAC_Zone'"),
-    "up_cone_edges": _q("select distinct s start, src, rel, dst from up join sn on node_id = s join se on se.dst = up.node where brick_class = 'HVAC_Zone' and h < 3"),
-    "subtree_nodes": _q("select s start, node from down join sn on node_id = s where brick_class in ('Building', 'Floor', 'AHU')"),
-    "primary_path": _q("select start, max_by(array_to_string(path, '>'), len(path)) path from walk group by 1", "best as (select se.*, case rel when 'feeds' then 0 when 'hasPart' then 1 when 'isLocationOf' then 2 else 9 end p from se),\nwalk as (select node_id start, [node_id] path from sn where brick_class = 'HVAC_Zone' union all select start, list_append(path, nxt) from (select start, path, min_by(src, (p, rel, src)) nxt from walk join best on dst = path[-1] where not list_contains(path, src) and len(path) <= 12 and path[-1] not in (select node_id from roots) group by 1, 2)),\n"),
-    "reaches_root": _q("select s start, min(node) root from up join sn on node_id = s where brick_class = 'HVAC_Zone' and node in (select node_id from roots) group by 1"),
+    "up_cone_nodes": _q("select s start, node, h from up"),
+    "up_cone_edges": _q("select distinct s start, src, rel, dst from up join se on se.dst = up.node where h < 12"),
+    "subtree_nodes": _q("select s start, node from down"),
+    "primary_path": _q("select start, max_by(array_to_string(path, '>'), len(path)) path from walk group by 1", "best as (select se.*, case rel when 'feeds' then 0 when 'hasPart' then 1 when 'isLocationOf' then 2 else 9 end p from se),\nwalk as (select node_id start, [node_id] path from sn union all select start, list_append(path, nxt) from (select start, path, min_by(src, (p, rel, src)) nxt from walk join best on dst = path[-1] where not list_contains(path, src) and len(path) <= 12 and path[-1] not in (select node_id from roots) group by 1, 2)),\n"),
+    "reaches_root": _q("select s start, min(node) root from up where node in (select node_id from roots) group by 1"),
     "spine_roots": _q("select target start, node root from spine where node in (select node_id from roots)"),
     "ancestry_order": _q("select target start, node, row_number() over (partition by target order by h, brick_class, node)::int place from spine join sn on node_id = node"),
-    "points_under_self": _q("select parent start, leaf, leaf_class from att join sn on node_id = parent where sn.brick_class in ('HVAC_Zone', 'Building', 'Unknown_Ext')"),
-    "points_under_subtree": _q("select s start, leaf_class, count(distinct leaf) n from down join sn on node_id = s join att on att.parent = down.node where sn.brick_class = 'Floor' group by 1, 2"),
+    "points_under_self": _q("select parent start, leaf, leaf_class from att join sn on node_id = parent"),
+    "points_under_subtree": _q("select s start, leaf_class, count(distinct leaf) n from down join att on att.parent = down.node group by 1, 2"),
     "cohort_size": _q("select t.target, p.parent node, count(*) - max(case when leaf = t.target then 1 else 0 end) n from (select distinct target, parent from flags join par using (host)) p join targets t using (target) join (select distinct s, leaf, leaf_class from down join att on att.parent = down.node) d on d.s = p.parent and d.leaf_class = t.target_class group by 1, 2 having n > 0"),
     "global_hosts": _q("select node from gh"),
     "view_anchors": _q("select target, 'A' || row_number() over (partition by target order by k) alias, node from (select target, node, min(o) k from (select *, row_number() over (partition by target order by a, b, h, c, node, rel) o from listed) group by 1, 2)", _LISTED),
@@ -441,6 +546,35 @@ SQL: dict[str, str] = {
     "fc_persistence": _TS + "select sensor_id, origin, lead, round(actual, 6) actual, round(forecast, 6) forecast from fp",
     "fc_snaive": _TS + "select sensor_id, origin, lead, round(actual, 6) actual, round(forecast, 6) forecast from fs",
     "fc_error": _TS + "select sensor_id, n, round(nmae, 6) nmae, round(nmse, 6) nmse from ep",
-    "fc_error_by_class": _TS + "select substr(sensor_id, 1, 1) kind, count(*) n_series, round(avg(nmae), 6) nmae, round(avg(nmse), 6) nmse from ep group by 1",
+    "fc_error_by_class": _q("select coalesce(brick_class, '') brick_class, count(*) n_series, round(avg(nmae), 6) nmae, round(avg(nmse), 6) nmse from ep left join ovs using (sensor_id) left join nodes using (node_id) group by 1", _TS_PART + _SENSOR),
     "fc_gain": _TS + "select ep.sensor_id, round((es.nmae - ep.nmae) / es.nmae, 6) nmae_gain, round((es.nmse - ep.nmse) / es.nmse, 6) nmse_gain from ep join es using (sensor_id)",
+    "fc_role_gain": _TS + f""", xs as (select step, v x from f where sensor_id = '{_COVARIATE}'),
+pr as (select w.sensor_id, origin, f.v y, x from w join f on f.sensor_id = w.sensor_id and f.step between origin - {LOOKBACK} and origin - 1 join xs on xs.step = f.step where f.v is not null and x is not null),
+sl as (select sensor_id, origin, coalesce(covar_pop(y, x) / nullif(var_pop(x), 0), 0) slope from pr group by 1, 2),
+x0 as (select step, last_value(v ignore nulls) over (order by step rows between unbounded preceding and 1 preceding) x0 from f where sensor_id = '{_COVARIATE}'),
+ff as (select fp.sensor_id, fp.origin, actual, forecast + coalesce(slope * (x - x0), 0) forecast from fp left join sl using (sensor_id, origin) left join x0 on x0.step = fp.origin left join xs on xs.step = fp.origin + lead - 1),
+ef as (select sensor_id, avg(abs(actual - forecast)) / any_value(sd) nmae, avg((actual - forecast) ** 2) / (any_value(sd) * any_value(sd)) nmse from ff join sd using (sensor_id) where actual is not null and forecast is not null group by 1)
+select sensor_id, round((ep.nmae - ef.nmae) / nullif(ep.nmae, 0), 6) nmae_gain, round((ep.nmse - ef.nmse) / nullif(ep.nmse, 0), 6) nmse_gain from ef join ep using (sensor_id)""",
+    "ts_noise": _TS + f"""select sensor_id, step, round(v + coalesce(stddev_pop(v) over (partition by sensor_id), 0) * sqrt(-2 * ln(({drawn_sql("'0|1|' || sensor_id || '|' || step")} + 0.5) / 4503599627370496.0::double)) * cos(6.283185307179586 * (({drawn_sql("'0|2|' || sensor_id || '|' || step")} + 0.5) / 4503599627370496.0::double)), 6) as value from f""",
+    "ts_between": "select event_id from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20'",
+    "site_filter": "select event_id, 'site_' || (user_id % 3) site from events where user_id % 3 in (0, 2)",
+    "sensor_nodes": _q(f"select sensor_id, coalesce(ovs.node_id, byname.node_id) node_id, coalesce(n2.brick_class, '') brick_class from (select event_type sensor_id from events union select 'site.dev' || (user_id % 10) || '.u' || user_id from events) left join ovs using (sensor_id) left join (select {_FRAG('node_id')} sensor_id, min_by(node_id, node_ord) node_id from nodes group by 1) byname using (sensor_id) left join nodes n2 on n2.node_id = coalesce(ovs.node_id, byname.node_id)", _SENSOR),
+    "ts_inputs": _q(f"""select t.sensor_id target, c.sensor_id, count(*) n, count(f.v) n_valid, max(f.step - w.origin) latest from w join types_of t on t.sensor_id = w.sensor_id, types_of c join f on f.sensor_id = c.sensor_id
+      where f.step between w.origin - {LOOKBACK} and case when c.known then w.origin + {HORIZON} - 1 else w.origin - 1 end group by 1, 2""", _TS_PART + _SENSOR + "types_of as (select distinct event_type sensor_id, regexp_matches(coalesce(brick_class, ''), 'Outside_Air|Outdoor_Air|Weather|Solar|Schedule|Calendar|Occupancy_Schedule') known from events left join ovs on ovs.sensor_id = event_type left join nodes using (node_id)),\n"),
+    "control_points": _q("select node_id, brick_class from nodes where has_ts and not regexp_matches(brick_class, 'Setpoint|Command')"),
+    "skeleton_reread": _q("select src, rel, dst from se"),
+    "selector_answers": _q("""select target, case when k <> 2 then '{"pulls": [], "summary": "' || target || '"}' end as content, case when k = 2 then 'ValueError: refused' end as error from (select target, right(target, 1)::int % 3 k from targets)"""),
+    "parse_pulls": _q(r"""select target, coalesce(case when json_valid(j) then json_array_length(j, '$.pulls') end, -1)::int n_pulls, case when json_valid(j) then j ->> '$.summary' end summary from (select target, case when json_valid(found) then found else regexp_extract(found, '(?s)^(.*\})', 1) end j
+      from (select target, case when fence <> '' then fence when contains(content, '{') then regexp_extract(content, '(?s)(\{[^{]*)$', 1) else '' end found from (select target, content, regexp_extract(content, '(?s)```(?:json)?\s*(\{.*\})\s*```', 1) fence
+      from (select target, case node_ord % 4 when 0 then '```json' || chr(10) || '{"pulls": [{"anchor": "A1", "expand": "self", "point_class": "' || target_class || '", "reason": "r"}], "summary": "' || target || '"}' || chr(10) || '```'
+        when 1 then 'I pick nothing: {"pulls": [], "summary": "none"} so' when 2 then '```json' || chr(10) || '{"pulls": [}' || chr(10) || '```' else '' end as content from targets))))"""),
+    "picked_classes": _q("select target, string_agg(leaf_class || '×' || n, ', ' order by n desc, leaf_class) as text from (select target, leaf_class, count(*) n from kept group by 1, 2) group by 1", _ASKED),
+    "ablation_records": _q("select t.target target_uri, any_value(target_class) target_class, (count(node) + 1)::int n_nodes, count(node)::int n_leaves, coalesce(string_agg(node, ',' order by node), '') leaves, false llm_used, '1hop' sampler from targets t left join (select distinct target, b node from targets join both_ways on a = target join nodes on node_id = b where has_ts and b <> target) using (target) group by 1", "both_ways as (select src a, dst b from edges union select dst, src from edges),\n"),
+    "random_matched": _q(f"""select target, leaf from (select target, n, leaf, row_number() over (partition by target order by draw) ord from (select target, n, place, min(draw) draw from
+      (select target, n, own, draw, {drawn_sql("'0|' || target || '|' || draw")} % (select count(*) from pool) + 1 place from (select *, unnest(range(1, n * 3 + 21)) draw from (select t.target, p.place own, count(*) n from hop12 t join pool p on p.leaf = t.target group by 1, 2))) where place <> own group by 1, 2, 3) join pool using (place)) where ord <= n""", _NEAR),
+    "ablation_summary": _q("select sampler, count(*) n_targets, round(avg(n), 6) mean_leaves, list_sort(list(n))[(count(*) // 2) + 1]::bigint median_leaves, sum((n = 0)::int)::bigint n_zero from (" + " union all ".join(f"select '{k}hop' sampler, t.target, count(h.node) n from targets t left join (select * from hop123 where h <= {k}) h using (target) group by 2" for k in (1, 2, 3)) + " union all select 'random', t.target, count(h.node) from targets t left join (select * from hop123 where h <= 2) h using (target) group by 2 union all select 'same_ont', target, n - 1 from targets join (select brick_class target_class, count(*) n from nodes where has_ts group by 1) using (target_class)) group by 1", _NEAR),
+    "context_text": _q(f"""select target, 'TARGET: ' || target_class || '  (id=' || {_SHORT('target')} || ')' || chr(10) || chr(10)
+      || case when cl is not null then {_HEAD('cluster')} || cl || chr(10) || chr(10) when ho is not null then ho || chr(10) || chr(10) || {_HEAD('parent')} || coalesce(pu, '') || chr(10) || chr(10) else '' end
+      || case when gl is not null then {_HEAD('global')} || gl || chr(10) || chr(10) else '' end || {_HEAD('pool', '')} context
+      from targets left join (select target, {", ".join(f"string_agg(t, chr(10) order by o) filter (where section in ({x})) {y}" for x, y in (("'cluster'", "cl"), ("'host'", "ho"), ("'parent', 'up'", "pu"), ("'global'", "gl")))} from texts group by 1) using (target)""", _LISTED + _TEXTS),
 }

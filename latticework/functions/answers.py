@@ -12,6 +12,7 @@ AUDITED = f"struct<verdict: string, add: array<{PULL}>, drop: array<string>, not
 
 def blob(content: Column) -> Column:
     """The JSON text of an answer, null if there is none that parses: as found, else cut at its last closing brace."""
+    # Fixed value: the fence of an answer.
     fence = F.regexp_extract(content, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     tail = F.when(F.contains(content, F.lit("{")), F.concat(F.lit("{"), F.substring_index(content, "{", -1)))
     found = F.when(fence != "", fence).otherwise(tail)

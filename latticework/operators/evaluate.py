@@ -26,6 +26,23 @@ def seasonal(gridded: DataFrame, windows: DataFrame, season: int) -> DataFrame:
     return asked.join(past, ["sensor_id", "then"], "left").select("sensor_id", "origin", "lead", "actual", "forecast")
 
 
+def with_future(gridded: DataFrame, windows: DataFrame, covariate: str) -> DataFrame:
+    """(sensor_id, origin, lead, actual, forecast): the last value before the origin, moved by the covariate's change since then
+    times the slope of the series on the covariate over the window's history. The covariate is future-known: its values in the
+    horizon are read. Without it (as past-known) the change is unknown and the forecast is persistence; a covariate that never
+    varies has slope 0."""
+    x = gridded.where(F.col("sensor_id") == covariate).select("step", F.col("value").alias("x"))
+    past = windows.select("sensor_id", "origin", F.explode(F.sequence("first_step", F.col("origin") - 1)).alias("step"))
+    pairs = past.join(gridded, ["sensor_id", "step"]).join(x, "step").where(F.col("value").isNotNull() & F.col("x").isNotNull())
+    slope = pairs.groupBy("sensor_id", "origin").agg(F.coalesce(F.covar_pop("value", "x") / F.when(F.var_pop("x") > 0, F.var_pop("x")), F.lit(0.0)).alias("slope"))
+    before = Window.partitionBy("sensor_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    last = gridded.where(F.col("sensor_id") == covariate).select(F.col("step").alias("origin"), F.last("value", True).over(before).alias("x0"))
+    own = persistence(gridded, windows).withColumn("step", F.col("origin") + F.col("lead") - 1)
+    out = own.join(slope, ["sensor_id", "origin"], "left").join(last, "origin", "left").join(x, "step", "left")
+    moved = F.col("forecast") + F.coalesce(F.col("slope") * (F.col("x") - F.col("x0")), F.lit(0.0))
+    return out.select("sensor_id", "origin", "lead", "actual", moved.alias("forecast"))
+
+
 def errors(forecasts: DataFrame, gridded: DataFrame) -> DataFrame:
     """(sensor_id, n, nmae, nmse): absolute errors over the series' standard deviation, squared ones over its variance; steps
     without a value or forecast are left out, and series that never vary."""

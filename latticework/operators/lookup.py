@@ -14,6 +14,7 @@ INCLUDE = (
     "Sensor", "Meter", "Temperature_Sensor", "Air_Temperature_Sensor", "Zone_Air_Temperature_Sensor", "Supply_Air_Temperature_Sensor", "Return_Air_Temperature_Sensor",
     "Water_Temperature_Sensor", "Flow_Sensor", "Flow_Rate_Sensor", "Pressure_Sensor", "Differential_Pressure_Sensor", "CO2_Sensor", "Humidity_Sensor", "Power_Sensor", "Electrical_Meter", "Energy_Meter",
 )
+CONTROL = ("Setpoint", "Command")
 EXCLUDE = ("Setpoint", "Command", "Status", "Mode", "Alarm", "Fault", "Availability", "Enable", "Occupancy_Command")
 
 
@@ -23,9 +24,22 @@ def eligible(brick_class: Column) -> Column:
     return brick_class.rlike(any_of(INCLUDE)) & ~brick_class.rlike(any_of(EXCLUDE))
 
 
-def forecast_targets(nodes: DataFrame, limit: int = 0) -> DataFrame:
-    """(target, target_class, node_ord); the first limit by node_ord, 0 for all."""
-    out = nodes.where(F.col("is_forecast_target") & F.col("is_usable") & F.col("has_ts") & eligible(F.col("brick_class")))
+def is_control(brick_class: Column) -> Column:
+    """A class that is set rather than measured."""
+    return brick_class.rlike("|".join(CONTROL))
+
+
+def contexts(nodes: DataFrame, control_points: bool = True) -> DataFrame:
+    """(node_id, brick_class) of the nodes with a series that may serve as covariates; without control points if so told."""
+    out = nodes.where("has_ts").select("node_id", "brick_class")
+    return out if control_points else out.where(~is_control(F.col("brick_class")))
+
+
+def forecast_targets(nodes: DataFrame, limit: int = 0, control_points: bool = False) -> DataFrame:
+    """(target, target_class, node_ord); the first limit by node_ord, 0 for all. Control points are targets only if told so (and
+    then need no eligible class)."""
+    fits = eligible(F.col("brick_class")) if not control_points else eligible(F.col("brick_class")) | is_control(F.col("brick_class"))
+    out = nodes.where(F.col("is_forecast_target") & F.col("is_usable") & F.col("has_ts") & fits)
     out = out.select(F.col("node_id").alias("target"), F.col("brick_class").alias("target_class"), "node_ord")
     return out.orderBy("node_ord").limit(limit) if limit else out
 

@@ -35,6 +35,15 @@ def assemble(targets: DataFrame, own: Spine, kept: DataFrame, links: DataFrame,
     )
 
 
+def size_summary(sizes: DataFrame) -> DataFrame:
+    """One row over sizes(n_leaves): n_targets, mean_leaves, median_leaves (the value at n div 2) and n_zero; none without targets."""
+    counts = sizes.groupBy(F.col("n_leaves").cast("long").alias("n_leaves")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.array_sort(F.collect_list(F.struct("n_leaves", "n"))).alias("all"), F.sum("n").alias("n_targets"), F.sum(F.col("n_leaves") * F.col("n")).alias("s"), F.sum(F.when(F.col("n_leaves") == 0, F.col("n")).otherwise(0)).alias("n_zero"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("median"))
+    walk = F.aggregate("all", start, lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["median"] < 0) & (a["seen"] + x["n"] > F.expr("n_targets div 2")), x["n_leaves"]).otherwise(a["median"]).alias("median")))
+    return total.where("n_targets > 0").select("n_targets", F.round(F.col("s") / F.col("n_targets"), 6).alias("mean_leaves"), walk["median"].alias("median_leaves"), "n_zero")
+
+
 def quality_summary(sizes: DataFrame, most: int = 60) -> DataFrame:
     """One row over sizes(n_leaves, fallback_used, orphan): targets, least, upper median, mean and most leaves, cap hits, fallbacks,
     orphans; no row without targets. The median is the value at n div 2, found from the counts of each size."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.uri import STRUCTURAL_RELATIONS
 from ..shared import stored
-from .taxonomy import STRUCTURAL, top_types
+from .taxonomy import STRUCTURAL, read_types, top_types, write_types
 
 
 @dataclass(frozen=True)
@@ -27,10 +27,13 @@ def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_x")).select(*[c if c in keys else f"_x.{c}" for c in df.columns])
 
 
-def build(nodes: DataFrame, edges: DataFrame, subclasses: DataFrame) -> Skeleton:
-    """Of normalised nodes and edges. Structural nodes are those of a structural type without a series; edges need both ends
+def build(nodes: DataFrame, edges: DataFrame, subclasses: DataFrame, known_at: str | None = None) -> Skeleton:
+    """Of normalised nodes and edges. known_at: a table of resolved classes, read if it is there and written anew. Structural nodes are those of a structural type without a series; edges need both ends
     structural and count once; roots are the nodes that no edge leads to, isolated ones too."""
-    types = stored(top_types(nodes, subclasses), "types")
+    known = read_types(nodes.sparkSession, known_at) if known_at else None
+    types = stored(top_types(nodes, subclasses, known), "types")
+    if known_at:
+        write_types(types, known, known_at)
     typed = nodes.join(types, "brick_class").where(F.col("top_type").isin(*STRUCTURAL) & ~F.col("has_ts"))
     typed = stored(typed.select("node_id", "brick_class", "top_type", "node_ord"), "skeleton_nodes")
     ends = typed.select("node_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import stored
@@ -71,3 +71,16 @@ def top_types(classes: DataFrame, subclasses: DataFrame, known: DataFrame | None
         out, cached = out.join(known.select("brick_class", F.col("top_type").alias("cached")), "brick_class", "left"), F.col("cached")
     best = F.coalesce("given", cached, "found", "self")
     return out.select("brick_class", F.coalesce(best, F.lit(FALLBACK)).alias("top_type"), best.isNotNull().alias("resolved"))
+
+
+def read_types(spark: SparkSession, path: str) -> DataFrame | None:
+    """Resolved classes (brick_class, top_type) that write_types has left; None where there are none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def write_types(types: DataFrame, known: DataFrame | None, path: str) -> None:
+    """Adds the resolved classes of top_types to the known ones; those that fell back are not kept."""
+    own = types.where("resolved").select("brick_class", "top_type")
+    every = own if known is None else own.union(known.select("brick_class", "top_type").join(own, "brick_class", "left_anti"))
+    stored(every, "known_types").write.mode("overwrite").parquet(path)

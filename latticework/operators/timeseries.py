@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import drawn
+from .lookup import resolve
+
 STEP_S = 900
 GAP, EDGE = 4, 4
 STUCK, ZERO, NEAR_ZERO = 24, 12, 1e-3
@@ -97,6 +100,36 @@ def windows(gridded: DataFrame, lookback: int, horizon: int, stride: int) -> Dat
     return spans.select("sensor_id", origin.alias("origin")).select("sensor_id", "origin", (F.col("origin") - lookback).alias("first_step"), (F.col("origin") + horizon - 1).alias("last_step"))
 
 
+def between(readings: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Readings from start on and before end; either may be open."""
+    out = readings if start is None else readings.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    return out if end is None else out.where(F.col("ts") < F.lit(end).cast("timestamp"))
+
+
+def of_sites(df: DataFrame, sites: list[str] | None, column: str = "site") -> DataFrame:
+    """The rows of some sites, or of all for None."""
+    return df if sites is None else df.where(F.col(column).isin(*sites))
+
+
+def on_nodes(sensors: DataFrame, nodes: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(sensor_id, node_id, brick_class) of sensors(sensor_id): the node of overrides(sensor_id, node_id), else that with the
+    sensor's name as its id or the first with it as its fragment; null, '' where there is none."""
+    ids = sensors.select("sensor_id").distinct()
+    found = resolve(nodes, ids.withColumnRenamed("sensor_id", "name")).withColumnRenamed("name", "sensor_id").withColumnRenamed("node_id", "own")
+    given = found.withColumn("given", F.lit(None).cast("string")) if overrides is None else found.join(overrides.select("sensor_id", F.col("node_id").alias("given")), "sensor_id", "left")
+    out = given.select("sensor_id", F.coalesce("given", "own").alias("node_id")).join(nodes.select("node_id", "brick_class"), "node_id", "left")
+    return out.select("sensor_id", "node_id", F.coalesce("brick_class", F.lit("")).alias("brick_class"))
+
+
+def inputs(gridded: DataFrame, windows: DataFrame, roles: DataFrame) -> DataFrame:
+    """(target, origin, sensor_id, step, value): what a forecast of each window(sensor_id, origin, first_step, last_step) may read of
+    the covariates roles(target, sensor_id, availability): the history, and of future-known ones the horizon as well."""
+    asked = windows.withColumnRenamed("sensor_id", "target").join(roles, "target")
+    last = F.when(F.col("availability") == "future-known", F.col("last_step")).otherwise(F.col("origin") - 1)
+    steps = asked.select("target", "origin", "sensor_id", F.explode(F.sequence("first_step", last)).alias("step"))
+    return steps.join(gridded, ["sensor_id", "step"]).select("target", "origin", "sensor_id", "step", "value")
+
+
 def availability(brick_class: Column) -> Column:
     """future-known (weather, schedules, calendar) or past-known, by class."""
     return F.when(brick_class.rlike("Outside_Air|Outdoor_Air|Weather|Solar|Schedule|Calendar|Occupancy_Schedule"), "future-known").otherwise("past-known")
@@ -104,7 +137,7 @@ def availability(brick_class: Column) -> Column:
 
 def noisy(gridded: DataFrame, sigma: float, seed: int = 0) -> DataFrame:
     """value plus Gaussian noise of so many standard deviations of the series, hashed from sensor and step."""
-    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sensor_id", "step"), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+    unit = lambda k: (drawn(F.lit(f"{seed}|{k}"), F.col("sensor_id"), F.col("step").cast("string")).cast("double") + 0.5) / F.lit(float(1 << 52))
     gauss = F.sqrt(-2 * F.log(unit(1))) * F.cos(F.lit(6.283185307179586) * unit(2))
     spread = F.coalesce(F.stddev_pop("value").over(Window.partitionBy("sensor_id")), F.lit(0.0))
     return gridded.select("sensor_id", "step", (F.col("value") + sigma * spread * gauss).alias("value"))

@@ -15,6 +15,8 @@ from .traverse import cone_edges, subtree, up_cone
 
 TOP = 12
 PEERS = 5
+#: Global hosts that are broadcast.
+MAX_GLOBAL = 10_000
 
 
 @dataclass(frozen=True)
@@ -111,12 +113,14 @@ def entries(targets: DataFrame, own: Spine, attached: DataFrame, skeleton: Skele
     listed = hosts.select("host", key(0, 0, zero, none).alias("key"), F.lit("host").alias("section"), none.alias("rel"), F.col("host").alias("node"))
     listed = listed.union(parent.select("host", key(F.col("branch"), 0, zero, none), F.lit("parent"), "rel", "parent"))
     listed = stored(listed.union(above.select("host", key(F.col("at.branch"), 1, F.col("at.h"), F.col("brick_class")), F.lit("up"), none, "node")), "listed")
-    rest = global_hosts(skeleton, attached).crossJoin(F.broadcast(hosts)) if hosts.limit(1001).count() <= 1000 else hosts.join(global_hosts(skeleton, attached))
+    wide = stored(global_hosts(skeleton, attached), "global_hosts")  # every view lists all of them; a building has few
+    wide = F.broadcast(wide) if wide.limit(MAX_GLOBAL + 1).count() <= MAX_GLOBAL else wide
+    rest = hosts.join(wide)
     last = F.lit(2**30)
     drivers = rest.join(listed.select("host", "node").distinct(), ["host", "node"], "left_anti").select("host", key(last, 0, zero, none), F.lit("global"), none, "node")
     out = host.join(listed.union(drivers), "host").select("target", "key", "section", "rel", "node")
     lone = flags.where("orphan").select("target", key(0, 0, zero, none), F.lit("cluster"), none, F.lit("__cluster__"))
-    lone = lone.union(flags.where("orphan").join(global_hosts(skeleton, attached)).select("target", key(last, 0, zero, none), F.lit("global"), none, "node"))
+    lone = lone.union(flags.where("orphan").join(wide).select("target", key(last, 0, zero, none), F.lit("global"), none, "node"))
     out = out.union(lone)
     return out.select("target", F.row_number().over(Window.partitionBy("target").orderBy("key", "node", "rel")).alias("ord"), "section", "rel", "node")
 
@@ -135,6 +139,7 @@ def lines(targets: DataFrame, listed: DataFrame, attached: DataFrame, skeleton:
     named = skeleton.nodes.select(F.col("node_id").alias("node"), "brick_class")
     roots = skeleton.roots.select(F.col("node_id").alias("node"), F.lit(" (root)").alias("root"))
     x = listed.join(anchors(listed), ["target", "node"]).join(own, "node", "left").join(mates, "target", "left").join(kin, ["target", "node"], "left").join(named, "node", "left").join(roots, "node", "left")
+    # The wording of a view's lines.
     label = F.concat(F.lit("["), "alias", F.lit("] "), F.coalesce("brick_class", F.lit("")), F.lit("("), short(F.col("node")), F.lit(")"))
     part = lambda head, c, tail="": F.when(F.col(c).isNotNull(), F.concat(F.lit(head), c, F.lit(tail))).otherwise("")
     text = (
@@ -147,14 +152,17 @@ def lines(targets: DataFrame, listed: DataFrame, attached: DataFrame, skeleton:
     return x.select("target", "ord", "section", text.alias("text"))
 
 
+# The headings of a view's sections.
+HEADINGS = {
+    "cluster": "YOU ARE HERE: KG-orphan (no structural parent). Recovered into an UNMODELED-equipment cluster; its cluster-mates:",
+    "parent": "GROUPED-WITH  (each parent branch = a peer cohort + its upstream; pull a cohort with expand=subtree on its anchor):",
+    "global": "GLOBAL DRIVERS  (building-wide; weather/utility/plant):",
+    "pool": "BUILDING-WIDE POOL: request any brick_class building-wide (expand=building) for broad peer pooling.",
+}
+
+
 def _heading(section: str) -> Column:
-    # The headings of a view's sections.
-    return F.lit({
-        "cluster": "YOU ARE HERE: KG-orphan (no structural parent). Recovered into an UNMODELED-equipment cluster; its cluster-mates:",
-        "parent": "GROUPED-WITH  (each parent branch = a peer cohort + its upstream; pull a cohort with expand=subtree on its anchor):",
-        "global": "GLOBAL DRIVERS  (building-wide; weather/utility/plant):",
-        "pool": "BUILDING-WIDE POOL: request any brick_class building-wide (expand=building) for broad peer pooling.",
-    }[section])
+    return F.lit(HEADINGS[section])
 
 
 def rendered(targets: DataFrame, written: DataFrame) -> DataFrame:

@@ -18,18 +18,19 @@ Selector = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Graph:
-    """A building's normalised tables and what is derived from them."""
+    """A building's normalised tables and what is derived from them. types: where resolved classes are kept between runs."""
 
     nodes: DataFrame
     edges: DataFrame
     subclasses: DataFrame
+    types: str | None = None
     skeleton: skeleton.Skeleton = field(init=False)
     attached: DataFrame = field(init=False)
     members: DataFrame = field(init=False)
     targets: DataFrame = field(init=False)
 
     def __post_init__(self):
-        self.skeleton = skeleton.build(self.nodes, self.edges, self.subclasses)
+        self.skeleton = skeleton.build(self.nodes, self.edges, self.subclasses, self.types)
         self.attached = stored(attach.attachments(self.nodes, self.edges), "attached")
         self.members = stored(attach.clusters(self.nodes, self.attached, self.skeleton), "clusters")
         self.targets = stored(lookup.forecast_targets(self.nodes), "targets")
@@ -79,6 +80,7 @@ def select(graph: Graph, selector: Selector | None = None, verifier: Selector |
     if verifier:
         choice = kept.groupBy("target", "leaf_class").agg(F.count("*").alias("n"))
         summary = view.histogram_text(choice, ["target"], "leaf_class", 1 << 30)
+        # Fixed value: the line before the choice that is audited.
         question = contexts.join(summary, "target", "left").select("target", F.concat("context", F.lit("\n\nCOVARIATES THE ENGINEER CHOSE (audit these):\n  "), F.coalesce("text", F.lit("(none)"))).alias("context"))
         audit = stored(verifier(question).select("target", "content", "error"), "audit")
         good = audit.where("error is null")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..shared import stored
+from ..shared import numbered, stored
 
 NODES = """
 select concat('b/x#reg', r_regionkey) node_id, 'Building' brick_class, false has_timeseries, false is_forecast_target from region
@@ -50,7 +51,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     if key not in _made:
         for name in _TABLES:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        nodes = spark.sql(f"select *, row_number() over (order by node_id) node_ord from ({NODES})")
-        edges = spark.sql(f"select row_number() over (order by rel_canonical, src, dst, rel) edge_ord, src, rel, rel_canonical, dst from ({EDGES})")
+        nodes = numbered(spark.sql(NODES), "node_ord", F.col("node_id"))
+        edges = numbered(spark.sql(EDGES), "edge_ord", *map(F.col, ("rel_canonical", "src", "dst", "rel")))
         _made[key] = stored(nodes, "kg_nodes"), stored(edges, "kg_edges"), spark.createDataFrame(SUBCLASSES, "class string, superclass string")
     return _made[key]
