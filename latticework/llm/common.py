@@ -1,37 +1,20 @@
-"""What the corpus operators share: the shared folder, Arrow access to text, words, seeded hashes."""
+"""What the corpus operators share: Arrow access to text, words, seeded hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, stored
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shares(spark: SparkSession, rows: int, most: int) -> int:
     """Partitions for so many rows, at most about most in each; no fewer than shuffles have."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
@@ -91,3 +74,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+__all__ = ["LOWER", "SPACES", "crc32_sql", "documents", "fresh", "mix", "remainder", "shared_dir", "shares", "stored", "texts", "utf8"]
