@@ -19,7 +19,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup(documents(spark, sf_dir))
+    return suffix.dedup(documents(spark, sf_dir), passage=suffix.PASSAGE)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

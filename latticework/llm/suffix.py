@@ -7,6 +7,8 @@ equal grams, so they meet where regions (maximal runs of strings with one anchor
 lies in one region, so no string ever meets itself. Regions whose gram occurs once are left out; of equal regions with
 one gram, two occurrences stand for all.
 
+Passages: strings of PASSAGE bytes, shorter than what is removed, are found the same way and only counted.
+
 Index: the regions of a share are written one after the other; of their Burrows-Wheeler transform the runs are kept,
 with the suffix-array samples at each run's ends. The longest match of a suffix with its neighbour in suffix order is measured
 at the run ends only; going through the text, a match shortens by one byte a step until the next sample (the matching
@@ -23,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored, texts
+from .common import mix, shares, stored, texts
 
 LENGTH = 400
 GRAM = 100
+#: Bytes of a passage of some fifty words: repeated ones are counted beside what is removed.
+PASSAGE = 250
+#: Regions that one task sorts, about.
+_REGIONS = 1_000_000
 #: Bytes of regions indexed together, unless one gram has more; bytes hashed together.
 SHARE = 2_000_000
 _SEGMENT = 1 << 19
@@ -179,19 +185,14 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[cut, 0], far[np.append(cut[1:], len(spans)) - 1]], 1)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
-
-    Texts are bytes of UTF-8 and are judged as they came in; matches never cross texts. A null text counts as empty: 0 bytes,
-    the hash of nothing. Rows with equal texts of at least length bytes repeat each other whole, repeated rows too. Ids play
-    no part. keep_text adds the column kept: the remaining bytes (binary). Other columns are left out.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(key, spans): of source(key, text), a key for each different text, the bytes that strings of length bytes cover which also
+    start in another place of these texts, copies of a whole text left aside. spans: int64 pairs, sorted and disjoint."""
+    spark = source.sparkSession
+    long = source.where(F.octet_length("text") >= length).select("key", "text")
+    n_bytes = long.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = shares(spark, 2 * n_bytes // (length - gram + 1), _REGIONS)
     buckets = 8 * parts
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    long = source.where(F.octet_length("text") >= length)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(bucket, blob): rows gram hash, content hash, key, start, bytes of the regions of a partition's distinct texts."""
@@ -322,14 +323,56 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bo
                 spans.append(merged((at[:, None, None] + np.frombuffer(own, np.int64).reshape(1, -1, 2)).reshape(-1, 2)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], ["key", "spans"])
 
+    placed = long.mapInArrow(place, "bucket int, blob binary").repartition(parts, "bucket")
+    chosen = stored(placed.mapInArrow(choose, "key long, fetch binary, content long, starts binary"), "chosen")
+    fetch = chosen.where("fetch is not null").select("key", "fetch")
+    cut = long.join(fetch, "key").select("key", "text", "fetch")
+    cut = cut.mapInArrow(cut_out, "bucket int, gram long, content long, start long, key long, region binary").repartition(parts, "bucket")
+    judged = stored(cut.mapInArrow(judge, "content long, spans binary"), "judged")
+    where = chosen.where("starts is not null").select("key", "content", "starts").join(judged, "content").select("key", "starts", "spans")
+    spans = where.mapInArrow(spread, "key long, spans binary").groupBy("key").agg(F.array_join(F.transform(F.collect_list("spans"), lambda x: F.hex(x)), "").alias("spans"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, spans) with the spans merged, and the longest of them."""
+        for batch in batches:
+            every = [merged(np.frombuffer(b, np.int64).reshape(-1, 2)) for b in batch.column(1).to_pylist()]
+            longest = [int((x[:, 1] - x[:, 0]).max()) if len(x) else 0 for x in every]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in every], pa.binary()), pa.array(longest, pa.int64())], ["key", "spans", "longest"])
+
+    return stored(spans.select("key", F.unhex("spans").alias("spans")).mapInArrow(whole, "key long, spans binary, longest long"), "spans")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, passage: int | None = None) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Texts are bytes of UTF-8 and are judged as they came in; matches never cross texts. A null text counts as empty: 0 bytes,
+    the hash of nothing. Rows with equal texts of at least length bytes repeat each other whole, repeated rows too. Ids play
+    no part. keep_text adds the column kept: the remaining bytes (binary). Other columns are left out.
+
+    passage (at most length): adds n_repeated, the bytes that strings of so many bytes cover which also start in another place;
+    none of them is removed for that. A string of length bytes repeats only where such a run is as long, so the texts with one
+    are all that is searched for it.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    least = passage or length
+    copies = source.where(F.octet_length("text") >= least).groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("twice"))
+    wanted = source
+    marks = copies
+    if passage:
+        short = repeats(source, passage, max(8, gram * passage // length * 24 // 25))
+        wanted = source.join(short.where(F.col("longest") >= length).select("key"), "key", "left_semi")
+        marks = marks.join(short.select("key", F.col("spans").alias("passages")), "key", "full_outer")
+    marks = stored(marks.join(repeats(wanted, length, gram).select("key", "spans"), "key", "full_outer"), "marks")
+    if not passage:
+        marks = marks.withColumn("passages", F.lit(None).cast("binary"))
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans_of = lambda text, spans, twice, n: np.array([[0, len(text)]]) if twice and len(text) >= n else np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
         for batch in batches:
-            many, gone, runs, digests, kept = [], [], [], [], []
-            for text, spans, twice in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if twice and len(text) >= length:
-                    cut = np.array([[0, len(text)]])
-                else:
-                    cut = merged(np.frombuffer(spans or b"", np.int64).reshape(-1, 2))
+            many, gone, runs, digests, kept, again = [], [], [], [], [], []
+            for text, spans, passages, twice in zip(texts(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                cut = spans_of(text, spans, twice, length)
                 rest, done = [], 0
                 for a, b in cut.tolist():
                     rest.append(text[done:a])
@@ -340,19 +383,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bo
                 runs.append(len(cut))
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
+                again.append(int(np.diff(spans_of(text, passages, twice, least), axis=1).sum()))
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (many, gone, runs)), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_text, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
-
-    placed = long.select("key", "text").mapInArrow(place, "bucket int, blob binary").repartition(parts, "bucket")
-    chosen = stored(placed.mapInArrow(choose, "key long, fetch binary, content long, starts binary"), "chosen")
-    fetch = chosen.where("fetch is not null").select("key", "fetch")
-    cut = long.select("key", "text").join(fetch, "key").select("key", "text", "fetch")
-    cut = cut.mapInArrow(cut_out, "bucket int, gram long, content long, start long, key long, region binary").repartition(parts, "bucket")
-    judged = stored(cut.mapInArrow(judge, "content long, spans binary"), "judged")
-    where = chosen.where("starts is not null").select("key", "content", "starts").join(judged, "content").select("key", "starts", "spans")
-    spans = where.mapInArrow(spread, "key long, spans binary").groupBy("key").agg(F.array_join(F.transform(F.collect_list("spans"), lambda x: F.hex(x)), "").alias("spans"))
-    copies = long.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("twice"))
-    marks = stored(spans.select("key", F.unhex("spans").alias("spans")).join(copies, "key", "full_outer"), "marks")
-    both = source.join(marks, "key", "left").select("doc_id", "text", "spans", F.coalesce("twice", F.lit(False)).alias("twice"))
-    return both.mapInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+            columns += [pa.array(kept, pa.binary())] * keep_text + [pa.array(again, pa.int64())] * bool(passage)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text, *["n_repeated"] * bool(passage)]
+    both = source.join(marks, "key", "left").select("doc_id", "text", "spans", "passages", F.coalesce("twice", F.lit(False)).alias("twice"))
+    schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text + ", n_repeated long" * bool(passage)
+    return both.mapInArrow(finish, schema)

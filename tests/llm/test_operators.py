@@ -111,6 +111,12 @@ def test_suffix(docs, length, gram):
         want.append((i, len(t), len(t) - len(left), int((gone[1:] > gone[:-1]).sum() + gone[0]), hashlib.sha256(left).hexdigest()))
     assert got(suffix.dedup(docs, length, gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
     assert suffix.dedup(docs.limit(0)).count() == 0
+    short = 5 * length // 8
+    many = Counter(t[p : p + short] for t in raw for p in range(len(t) - short + 1))
+    again = [sum(any(many[t[q : q + short]] > 1 for q in range(max(0, p - short + 1), min(p, len(t) - short) + 1)) for p in range(len(t))) if len(t) < 5_000 else None for t in raw]
+    out = suffix.dedup(docs, length, gram, passage=short)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
+    assert Counter((r.doc_id, r.n_bytes, r.n_repeated) for r in out.collect() if r.n_bytes < 5_000) == Counter((i, len(t), n) for (i, _), t, n in zip(DOCS, raw, again, strict=True) if n is not None)
 
 
 def base(text):
