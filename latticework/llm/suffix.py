@@ -31,6 +31,8 @@ LENGTH = 400
 GRAM = 100
 #: Bytes of a passage of some fifty words: repeated ones are counted beside what is removed.
 PASSAGE = 250
+#: Texts with spans that are broadcast to the texts' partitions.
+MAX_SPANNED = 200_000
 #: Regions that one task sorts, about.
 _REGIONS = 1_000_000
 #: Bytes of regions indexed together, unless one gram has more; bytes hashed together.
@@ -185,21 +187,38 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[cut, 0], far[np.append(cut[1:], len(spans)) - 1]], 1)
 
 
-def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM, known: DataFrame | None = None) -> DataFrame:
     """(key, spans): of source(key, text), a key for each different text, the bytes that strings of length bytes cover which also
-    start in another place of these texts, copies of a whole text left aside. spans: int64 pairs, sorted and disjoint."""
+    start in another place of these texts, copies of a whole text left aside. spans: int64 pairs, sorted and disjoint.
+
+    known (key, spans): bytes that count as covered already; where no region of a gram has others, the gram is left out.
+    """
     spark = source.sparkSession
     long = source.where(F.octet_length("text") >= length).select("key", "text")
+    spanned = long.withColumn("spans", F.lit(None).cast("binary"))
+    if known is not None:
+        few = known.limit(MAX_SPANNED + 1).count() <= MAX_SPANNED
+        spanned = long.join(F.broadcast(known.select("key", "spans")) if few else known.select("key", "spans"), "key", "left")
     n_bytes = long.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = shares(spark, 2 * n_bytes // (length - gram + 1), _REGIONS)
     buckets = 8 * parts
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(bucket, blob): rows gram hash, content hash, key, start, bytes of the regions of a partition's distinct texts."""
+        """(bucket, blob): rows gram hash, content hash, key, start, bytes, open (not within a known span) of the regions of a
+        partition's distinct texts."""
         seen: set[int] = set()
         held: list[np.ndarray] = []
+        covered: dict[int, np.ndarray] = {}
         size = 0
 
+        def closed(keys: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+            inside = np.zeros(len(keys), bool)
+            for key in covered.keys() & set(keys.tolist()):
+                own, spans = np.flatnonzero(keys == key), covered[key]
+                at = np.searchsorted(spans[:, 0], start[own], "right") - 1
+                inside[own] = (at >= 0) & (spans[at, 1] >= start[own] + n[own])
+            return inside
+
         def out() -> pa.RecordBatch:
             every = np.concatenate(held)
             bucket = (every[:, 0] % np.uint64(buckets)).astype(np.int64)
@@ -215,15 +234,19 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
             h, c, text, start, n = regions(data, ends, length, gram)
             keys = np.array([p[0] for p in pieces], np.int64).astype(np.uint64)
             shift = np.array([p[1] for p in pieces], np.int64) - ends[:-1]
-            held.append(np.stack([h, c, keys[text], (start + shift[text]).astype(np.uint64), n.astype(np.uint64)], 1))
+            start = start + shift[text]
+            open_ = ~closed(keys[text].astype(np.int64), start, n) if covered else np.ones(len(h), bool)
+            held.append(np.stack([h, c, keys[text], start.astype(np.uint64), n.astype(np.uint64), open_.astype(np.uint64)], 1))
             return len(h)
 
         for batch in batches:
             pieces, bytes_ = [], 0
-            for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            for key, text, spans in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
+                if spans:
+                    covered[key] = np.frombuffer(spans, np.int64).reshape(-1, 2)
                 for at in range(0, len(text) - length + 1, _SEGMENT):
                     piece = text[at : at + _SEGMENT + length - 1]
                     if bytes_ + len(piece) > 2 * _SEGMENT and pieces:
@@ -233,6 +256,7 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                     bytes_ += len(piece)
             if pieces:
                 size += add(pieces)
+            covered.clear()
             if size > 1_000_000:
                 yield out()
                 held, size = [], 0
@@ -248,12 +272,12 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                 held.setdefault(bucket, []).append(blob)
         names = ["key", "fetch", "content", "starts"]
         for bucket in list(held):
-            rows = np.frombuffer(b"".join(held.pop(bucket)), np.uint64).reshape(-1, 5)
+            rows = np.frombuffer(b"".join(held.pop(bucket)), np.uint64).reshape(-1, 6)
             rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 4], rows[:, 1], rows[:, 0]))]
             rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]  # equal texts from several partitions
             new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
             sizes = np.diff(np.append(np.flatnonzero(new), len(rows)))
-            rows = rows[np.repeat(sizes > 1, sizes)]
+            rows = rows[np.repeat((sizes > 1) & (np.add.reduceat(rows[:, 5], np.flatnonzero(new)) > 0), sizes)]
             if not len(rows):
                 continue
             content = mix(rows[:, 0] ^ mix(rows[:, 1] + rows[:, 4])).astype(np.int64)
@@ -323,7 +347,7 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                 spans.append(merged((at[:, None, None] + np.frombuffer(own, np.int64).reshape(1, -1, 2)).reshape(-1, 2)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], ["key", "spans"])
 
-    placed = long.mapInArrow(place, "bucket int, blob binary").repartition(parts, "bucket")
+    placed = spanned.select("key", "text", "spans").mapInArrow(place, "bucket int, blob binary").repartition(parts, "bucket")
     chosen = stored(placed.mapInArrow(choose, "key long, fetch binary, content long, starts binary"), "chosen")
     fetch = chosen.where("fetch is not null").select("key", "fetch")
     cut = long.join(fetch, "key").select("key", "text", "fetch")
@@ -333,13 +357,12 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     spans = where.mapInArrow(spread, "key long, spans binary").groupBy("key").agg(F.array_join(F.transform(F.collect_list("spans"), lambda x: F.hex(x)), "").alias("spans"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, spans) with the spans merged, and the longest of them."""
+        """(key, spans) with the spans merged."""
         for batch in batches:
-            every = [merged(np.frombuffer(b, np.int64).reshape(-1, 2)) for b in batch.column(1).to_pylist()]
-            longest = [int((x[:, 1] - x[:, 0]).max()) if len(x) else 0 for x in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in every], pa.binary()), pa.array(longest, pa.int64())], ["key", "spans", "longest"])
+            every = [merged(np.frombuffer(b, np.int64).reshape(-1, 2)).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, pa.binary())], ["key", "spans"])
 
-    return stored(spans.select("key", F.unhex("spans").alias("spans")).mapInArrow(whole, "key long, spans binary, longest long"), "spans")
+    return stored(spans.select("key", F.unhex("spans").alias("spans")).mapInArrow(whole, "key long, spans binary"), "spans")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, passage: int | None = None) -> DataFrame:
@@ -350,22 +373,20 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bo
     no part. keep_text adds the column kept: the remaining bytes (binary). Other columns are left out.
 
     passage (at most length): adds n_repeated, the bytes that strings of so many bytes cover which also start in another place;
-    none of them is removed for that. A string of length bytes repeats only where such a run is as long, so the texts with one
-    are all that is searched for it.
+    none of them is removed for that. What is removed repeats, so these bytes count, and only others are searched for.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     least = passage or length
     copies = source.where(F.octet_length("text") >= least).groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("twice"))
-    wanted = source
-    marks = copies
+    long = repeats(source, length, gram)
+    marks = copies.join(long, "key", "full_outer")
     if passage:
-        short = repeats(source, passage, max(8, gram * passage // length * 24 // 25))
-        wanted = source.join(short.where(F.col("longest") >= length).select("key"), "key", "left_semi")
+        short = repeats(source, passage, max(8, gram * passage // length * 24 // 25), long)
         marks = marks.join(short.select("key", F.col("spans").alias("passages")), "key", "full_outer")
-    marks = stored(marks.join(repeats(wanted, length, gram).select("key", "spans"), "key", "full_outer"), "marks")
-    if not passage:
+    else:
         marks = marks.withColumn("passages", F.lit(None).cast("binary"))
+    marks = stored(marks, "marks")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_of = lambda text, spans, twice, n: np.array([[0, len(text)]]) if twice and len(text) >= n else np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
@@ -383,7 +404,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bo
                 runs.append(len(cut))
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-                again.append(int(np.diff(spans_of(text, passages, twice, least), axis=1).sum()))
+                both = merged(np.concatenate([cut, spans_of(text, passages, twice, least)])) if passage else cut
+                again.append(int(np.diff(both, axis=1).sum()))
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (many, gone, runs)), pa.array(digests, pa.string())]
             columns += [pa.array(kept, pa.binary())] * keep_text + [pa.array(again, pa.int64())] * bool(passage)
             yield pa.RecordBatch.from_arrays(columns, names)
