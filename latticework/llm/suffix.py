@@ -4,8 +4,8 @@ A string of LENGTH bytes that starts at two places is repeated; every byte that
 
 Placing: each string is assigned to an anchor, the last of the least hashes of its GRAM-byte grams. Equal strings choose
 equal grams, so they meet where regions (maximal runs of strings with one anchor) are dealt by the gram's hash. Every string
-lies in one region, so no string ever meets itself. Regions whose gram occurs once are left out; of equal regions with
-one gram, two occurrences stand for all.
+lies in one region, so no string ever meets itself. Regions whose gram occurs once are left out; equal regions repeat whole,
+and one of them stands for all where others have the same gram.
 
 Passages: strings of PASSAGE bytes, shorter than what is removed, are found the same way and only counted.
 
@@ -264,13 +264,13 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM, known: Da
             yield out()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of grams that occur more than once: (key, fetch) regions to index as rows (gram hash, content, start, bytes), and
-        (content, key, starts) of all their regions."""
+        """Of grams that occur more than once: (key, fetch) regions to index as rows (gram hash, content, start, bytes),
+        (content, key, starts) of all their regions, and (content, whole) the bytes of those that occur twice."""
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(blob)
-        names = ["key", "fetch", "content", "starts"]
+        names = ["key", "fetch", "content", "starts", "whole"]
         for bucket in list(held):
             rows = np.frombuffer(b"".join(held.pop(bucket)), np.uint64).reshape(-1, 6)
             rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 4], rows[:, 1], rows[:, 0]))]
@@ -281,18 +281,25 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM, known: Da
             if not len(rows):
                 continue
             content = mix(rows[:, 0] ^ mix(rows[:, 1] + rows[:, 4])).astype(np.int64)
+            gram_ = np.cumsum(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) - 1
             first = np.concatenate([[True], (rows[1:, [0, 1, 4]] != rows[:-1, [0, 1, 4]]).any(1)])
-            second = np.concatenate([[False], first[:-1] & ~first[1:]])
-            wanted = np.flatnonzero(first | second)
+            at = np.flatnonzero(first)
+            alone = np.diff(np.append(at, len(rows))) == 1
+            # regions that occur twice repeat whole; an index is needed where others share their gram with different ones
+            whole = at[~alone]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(whole), pa.int64()), pa.nulls(len(whole), pa.binary()), pa.array(content[whole]), pa.nulls(len(whole), pa.binary()), pa.array(rows[whole, 4].astype(np.int64))], names)
+            open_alone = np.bincount(gram_[at], alone & (rows[at, 5] > 0)) > 0
+            wanted = at[(open_alone & (np.bincount(gram_[at]) > 1))[gram_[at]]]
             by_key = wanted[np.argsort(rows[wanted, 2], kind="stable")]
-            cut = np.flatnonzero(np.concatenate([[True], rows[by_key[1:], 2] != rows[by_key[:-1], 2]]))
-            asked = np.stack([rows[:, 0], content.astype(np.uint64), rows[:, 3], rows[:, 4]], 1)
-            fetch = [asked[g].tobytes() for g in np.split(by_key, cut[1:])]
-            keys = rows[by_key[cut], 2].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fetch, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary())], names)
+            if len(by_key):
+                cut = np.flatnonzero(np.concatenate([[True], rows[by_key[1:], 2] != rows[by_key[:-1], 2]]))
+                asked = np.stack([rows[:, 0], content.astype(np.uint64), rows[:, 3], rows[:, 4]], 1)
+                fetch = [asked[g].tobytes() for g in np.split(by_key, cut[1:])]
+                keys = rows[by_key[cut], 2].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fetch, pa.binary()), *(pa.nulls(len(keys), t) for t in (pa.int64(), pa.binary(), pa.int64()))], names)
             cut = np.flatnonzero(first | np.concatenate([[True], rows[1:, 2] != rows[:-1, 2]]))
             starts = [s.tobytes() for s in np.split(rows[:, 3], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[cut, 2].astype(np.int64)), pa.nulls(len(cut), pa.binary()), pa.array(content[cut]), pa.array(starts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[cut, 2].astype(np.int64)), pa.nulls(len(cut), pa.binary()), pa.array(content[cut]), pa.array(starts, pa.binary()), pa.nulls(len(cut), pa.int64())], names)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, text, fetch) -> (bucket, gram, content, start, key, region)."""
@@ -339,21 +346,24 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM, known: Da
             yield out()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, starts, spans) -> (key, spans) at the text's offsets."""
+        """(key, starts, spans or whole) -> (key, spans) at the text's offsets."""
         for batch in batches:
             spans = []
-            for starts, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for starts, some, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 at = np.frombuffer(starts, np.uint64).astype(np.int64)
-                spans.append(merged((at[:, None, None] + np.frombuffer(own, np.int64).reshape(1, -1, 2)).reshape(-1, 2)).tobytes())
+                own = np.array([[0, n]], np.int64) if some is None else np.frombuffer(some, np.int64).reshape(-1, 2)
+                spans.append(merged((at[:, None, None] + own[None]).reshape(-1, 2)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], ["key", "spans"])
 
     placed = spanned.select("key", "text", "spans").mapInArrow(place, "bucket int, blob binary").repartition(parts, "bucket")
-    chosen = stored(placed.mapInArrow(choose, "key long, fetch binary, content long, starts binary"), "chosen")
+    chosen = stored(placed.mapInArrow(choose, "key long, fetch binary, content long, starts binary, whole long"), "chosen")
     fetch = chosen.where("fetch is not null").select("key", "fetch")
     cut = long.join(fetch, "key").select("key", "text", "fetch")
     cut = cut.mapInArrow(cut_out, "bucket int, gram long, content long, start long, key long, region binary").repartition(parts, "bucket")
     judged = stored(cut.mapInArrow(judge, "content long, spans binary"), "judged")
-    where = chosen.where("starts is not null").select("key", "content", "starts").join(judged, "content").select("key", "starts", "spans")
+    where = chosen.where("starts is not null").select("key", "content", "starts")
+    twice = where.join(chosen.where("whole is not null").select("content", "whole").distinct(), "content").select("key", "starts", F.lit(None).cast("binary").alias("spans"), "whole")
+    where = where.join(judged, "content").select("key", "starts", "spans", F.lit(None).cast("long").alias("whole")).union(twice)
     spans = where.mapInArrow(spread, "key long, spans binary").groupBy("key").agg(F.array_join(F.transform(F.collect_list("spans"), lambda x: F.hex(x)), "").alias("spans"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
