@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter
 from pathlib import Path
+from zlib import crc32
 
 import duckdb
 import numpy as np
@@ -334,3 +335,31 @@ def test_ppm_copies(spark):
     rows = spark.createDataFrame([(i, text) for i in range(40)] + [(99, "the the the")], "doc_id long, text string").repartition(5)
     out = ppm.score(rows, F.lit(False), max_frequent=1).collect()
     assert len({(r.n_known, round(r.base_score, 6)) for r in out if r.doc_id < 40}) == 1 and all(r.n_known == 5 for r in out if r.doc_id < 40)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeats and names that clash with every stage's results; and empty tables."""
+    import corpus_pipeline
+
+    words = "stone river the of was green mountain light walked under house quickly silver and old storm".split()
+    prose = lambda k: " ".join(words[crc32(b"%d %d" % (k, i)) % 16] + "aeiou"[crc32(b"%d %d" % (i, k)) % 5] for i in range(60))
+    rows = [(i, prose(i), "ab"[i % 2] if i % 7 else None, f"k{i}", f"i{i}", f"c{i}", f"w{i}") for i in range(40)] + [(None, None, None, "k", "i", "c", "w"), (3, "", "a", "k", "i", "c", "w"), (5, prose(5), "a", "k", "i", "c", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Kept string, items string, copy string, n_words string")
+    item = " ".join(prose(8).split()[10:26])
+    for name, df in (("documents", docs), ("labels", spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    at = f"file://{tmp_path}/full"
+    now = spark.read.parquet(f"{at}/documents.parquet")
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, at)
+        assert now.columns == docs.columns, name
+        now = spark.createDataFrame(now.collect(), now.schema)
+        sizes.append(now.count())
+    assert sizes[0] == 41 and sizes[1] == 40 and sizes[2] == sizes[3] == 39 and now.where("doc_id = 8").count() == 0
+    assert all(r.Kept in (f"k{r.doc_id}", "k") and r.items in (f"i{r.doc_id}", "i") and r.n_words in (f"w{r.doc_id}", "w") for r in now.collect())
+    out = corpus_pipeline.run(spark, at)
+    assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in now.collect()} and out.count() > 0
+    empty = f"file://{tmp_path}/empty"
+    assert corpus_pipeline.run(spark, empty).count() == 0
