@@ -40,7 +40,8 @@ def test_neighbours_are_walked_once_for_targets_with_the_same_ones(spark):
 def test_graph_makes_what_is_read(spark, monkeypatch):
     n, e, _ = hub(spark, 3)
     g = selection.Graph(n, e, spark.createDataFrame(SUB, "class string, superclass string"))
-    monkeypatch.setattr(catalogue, "graph", lambda spark, sf_dir: g)
-    assert catalogue.QUERIES["query_class"](spark, "").count() == 0
     assert not {"skeleton", "attached", "members", "targets"} & set(vars(g))
     assert g.members.count() == 1 and "skeleton" in vars(g)
+    monkeypatch.setattr(catalogue, "graph", None)
+    monkeypatch.setattr(catalogue.fixture, "edges", None)
+    assert catalogue.QUERIES["query_class"](spark, "/root/testdata/sf0.001").count() == 30
