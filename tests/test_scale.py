@@ -2,11 +2,12 @@
 
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 from test_graph import SUB, make, rows
 
 from latticework import catalogue
-from latticework.operators import baselines
+from latticework.operators import attach, baselines, pulls, traverse, view
 from latticework.plans import selection
 from latticework.plans.ablations import Ablations
 
@@ -45,3 +46,59 @@ def test_graph_makes_what_is_read(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "graph", None)
     monkeypatch.setattr(catalogue.fixture, "edges", None)
     assert catalogue.QUERIES["query_class"](spark, "/root/testdata/sf0.001").count() == 30
+
+
+@pytest.mark.parametrize(("hot", "slots"), [(100_000, 8), (1, 8), (1, 0)])
+def test_lists_count_and_cap_as_single_leaves_do(spark, monkeypatch, hot, slots):
+    monkeypatch.setattr(pulls, "HOT", hot)
+    monkeypatch.setattr(pulls, "MAX_SLOTS", slots)
+    leaves = [(f"p{i:02d}", "AB"[i % 2], True) for i in range(30)]
+    n, e, s = make(spark, [("b", "Building", None), ("z", "Zone", None), ("y", "Zone", None), *leaves, ("o.1", "A", True), ("o.2", "B", True)],
+                   [("b", "hasPart", "z"), ("b", "hasPart", "y")] + [(x, "hasPoint", p) for i, (p, _, _) in enumerate(leaves) for x in ("z", "y", "b") if (x == "z") == (i < 12) or i % 7 == 0])
+    attached = attach.attachments(n, e)
+    members = attach.clusters(n, attached, s)
+    of = [("z", "self", None), ("b", "subtree", "A"), ("", "building", "B"), ("b", "subtree", ""), ("z", "self", None), ("nowhere", "self", None)]
+    asked = [(t, k, *p) for t in ("p00", "p05", "p29") for k, p in enumerate(of)] + [("o.1", 0, "__cluster__", "self", None), ("p01", 0, "b", "subtree", "A"), ("p01", 0, "z", "self", None)]
+    asked = spark.createDataFrame(asked, "target string, pull_ord int, anchor string, expand string, point_class string")
+    x = pulls.lists(asked, None, attached, members, s)
+    assert x.leaves.count() == x.leaves.select("list", "leaf").distinct().count() < pulls.candidates(asked, None, attached, members, s).count()
+    # leaf by leaf, without lists
+    under = {r.parent: {} for r in attached.collect()}
+    for r in attached.collect():
+        under[r.parent][r.leaf] = (r.leaf_class, r.edge_ord)
+    want = {}
+    for t, k, a, mode, c in sorted(tuple(r) for r in asked.fillna("").collect()):
+        hosts = {"self": [a], "subtree": ["b", "z", "y"], "building": ["b", "y", "z"]}[mode]
+        given = {("o.2", "B", ("", 0))} if a == "__cluster__" else {(leaf, kind, (h if mode == "building" else "", o)) for h in hosts for leaf, (kind, o) in under.get(h, {}).items() if c in ("", kind)}
+        for leaf, kind, key in given:
+            if leaf != t:
+                want[t, leaf] = min(want.get((t, leaf), ((99,), kind)), ((k, *key), kind))
+    by = {}
+    for (t, leaf), ((k, *key), kind) in want.items():
+        by.setdefault(t, []).append((k, key, leaf, kind))
+    assert rows(pulls.totals(x)) == sorted((t, len(v), min(r[2] for r in v), max(r[2] for r in v)) for t, v in by.items())
+    assert rows(pulls.class_counts(x)) == sorted((t, c, sum(r[3] == c for r in v)) for t, v in by.items() for c in {r[3] for r in v})
+    assert rows(pulls.pull_counts(x)) == sorted((t, k, sum(r[0] == k for r in v)) for t, v in by.items() for k in {r[0] for r in v})
+    for most in (3, 14, 60):
+        expected = sorted((t, [r[2] for r in sorted(v)][:most]) for t, v in by.items())
+        assert rows(pulls.capped_lists(x, most), "target", "leaves") == expected
+    drop = spark.createDataFrame([("p00", "A"), ("o.1", "B")], "target string, leaf_class string")
+    add = spark.createDataFrame([("p00", "p02", "A", 2), ("p00", "p04", "A", 1), ("p29", "p03", "B", 1)], "target string, leaf string, leaf_class string, ord int")
+    audited = pulls.audited(pulls.resolve(pulls.candidates(asked, None, attached, members, s)), drop, add)
+    expected = rows(audited.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "leaf"))), lambda v: v["leaf"]).alias("leaves")))
+    assert rows(pulls.capped_lists(pulls.audited_lists(x, drop, add)), "target", "leaves") == expected
+
+
+def test_views_and_spines_are_made_once_for_shared_hosts(spark):
+    many = [(f"p{i:02d}", "Temperature_Sensor", True) for i in range(20)]
+    n, e, s = make(spark, [("b", "Building", None), ("z", "Zone", None), ("y", "Zone", None), *many],
+                   [("b", "hasPart", "z"), ("b", "hasPart", "y"), *[("z", "hasPoint", p) for p, _, _ in many[:18]], ("z", "hasPoint", "p18"), ("y", "hasPoint", "p18")])
+    attached = attach.attachments(n, e)
+    targets = n.where("has_ts").select(F.col("node_id").alias("target"), F.col("brick_class").alias("target_class"), "node_ord")
+    own = view.spine(targets, attached, s)
+    assert own.cones.count() == 2 + 3 and own.nodes.count() == 18 * 2 + 3 and own.edges.count() == 18 + 2
+    assert rows(own.nodes.where("start = 'p18'"), "node", "h") == [("b", 1), ("y", 0), ("z", 0)]
+    seen = view.views(own, attached, s)
+    assert seen.entries.count() == 2 + 1 and seen.listed.count() == 19 * 2 + 1
+    assert rows(view.cohort_counts(targets, seen.places, seen.entries.where("section = 'parent'").select("view", "node"), attached, s)) == [(f"p{i:02d}", "b", 18) for i in range(19)]
+    assert rows(attach.counts_under(attached, traverse.subtree(s, s.nodes.selectExpr("node_id as start", "node_id as node")))) == [("b", "Temperature_Sensor", 19), ("y", "Temperature_Sensor", 1), ("z", "Temperature_Sensor", 19)]
