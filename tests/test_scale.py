@@ -99,6 +99,9 @@ def test_views_and_spines_are_made_once_for_shared_hosts(spark):
     assert own.cones.count() == 2 + 3 and own.nodes.count() == 18 * 2 + 3 and own.edges.count() == 18 + 2
     assert rows(own.nodes.where("start = 'p18'"), "node", "h") == [("b", 1), ("y", 0), ("z", 0)]
     seen = view.views(own, attached, s)
-    assert seen.entries.count() == 2 + 1 and seen.listed.count() == 19 * 2 + 1
+    assert seen.entries.count() == 3 + 3 and seen.listed.count() == 20 * 3  # hosts z and y are global drivers too
     assert rows(view.cohort_counts(targets, seen.places, seen.entries.where("section = 'parent'").select("view", "node"), attached, s)) == [(f"p{i:02d}", "b", 18) for i in range(19)]
     assert rows(attach.counts_under(attached, traverse.subtree(s, s.nodes.selectExpr("node_id as start", "node_id as node")))) == [("b", "Temperature_Sensor", 19), ("y", "Temperature_Sensor", 1), ("z", "Temperature_Sensor", 19)]
+    members = attach.clusters(n, attached, s)
+    texts = view.rendered(targets, view.lines(targets, seen.listed, attached, s, members))
+    assert rows(view.contexts(targets, seen, attached, s, members)) == rows(texts)
