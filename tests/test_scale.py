@@ -105,3 +105,45 @@ def test_views_and_spines_are_made_once_for_shared_hosts(spark):
     members = attach.clusters(n, attached, s)
     texts = view.rendered(targets, view.lines(targets, seen.listed, attached, s, members))
     assert rows(view.contexts(targets, seen, attached, s, members)) == rows(texts)
+
+
+def test_peers_of_a_large_cluster_are_joined_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(attach, "BLOCK", 4)
+    monkeypatch.setattr(attach, "PAIRS_A_TASK", 1)
+    members = spark.createDataFrame([(f"p{i:02d}", "a" if i < 30 else f"c{i // 2}", "AB"[i % 2]) for i in range(41)], "leaf string, cluster_key string, leaf_class string")
+    out = attach.cluster_peers(members)
+    assert out.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 15  # a task for each cluster: at most 7
+    all_ = members.collect()
+    assert rows(out) == sorted((x.leaf, y.leaf, y.leaf_class) for x in all_ for y in all_ if x.leaf != y.leaf and x.cluster_key == y.cluster_key)
+    assert attach.cluster_peers(members.limit(0)).count() == 0
+
+
+def test_draws_of_a_target_are_one_list(spark, monkeypatch):
+    drew = []
+    monkeypatch.setattr(baselines, "stored", lambda df, name, plain=baselines.stored: drew.append(plain(df, name)) or drew[-1] if name == "drawn" else plain(df, name))
+    n, e, _ = hub(spark, 40)
+    targets = n.where("node_id like 'p0%'").select(F.col("node_id").alias("target"), F.col("brick_class").alias("target_class"), "node_ord")
+    for want in (15, 99):
+        sizes = targets.select("target", F.lit(want).cast("long").alias("n"))
+        drew.clear()
+        out = baselines.random_matched(targets, n, sizes, 3)
+        assert drew[0].count() == 40  # a row for each target, not for each draw
+        got = out.where("leaf <> target").groupBy("target").agg(F.count_distinct("leaf").alias("n"), F.max("ord").alias("last")).collect()
+        assert len(got) == 40 and {(r.n, r["last"]) for r in got} == {(min(want, 41), min(want, 41))}
+
+
+def test_shared_neighbourhoods_are_walked_once(spark, monkeypatch):
+    walked = []
+    monkeypatch.setattr(traverse, "frontier", lambda *a, plain=traverse.frontier: walked.append(plain(*a)) or walked[-1])
+    edges = [*((f"z{i:02d}", "c0") for i in range(30)), ("z00", "c2"), ("c0", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("c3", "end"), ("y", "end"), ("self", "self"), ("self", "end")]
+    steps = spark.createDataFrame(edges, "node string, next string")
+    seeds = [(x, x) for x in sorted({x for e in edges for x in e} | {"lone"})] + [("both", "z00"), ("both", "c3")]
+    for sent, few, most in ((2_000_000, 1_000, None), (2_000_000, 0, 2), (0, 0, 3)):
+        monkeypatch.setattr(traverse, "MAX_SENT", sent)
+        monkeypatch.setattr(traverse, "FEW", few)
+        want = {s: 0 for s in seeds}
+        for h in range(1, 9 if most is None else most + 1):
+            for start, b in [(start, b) for (start, a), at in want.items() if at == h - 1 for x, b in edges if x == a]:
+                want.setdefault((start, b), h)
+        assert rows(traverse.closure(spark.createDataFrame(seeds, "start string, node string"), steps, most), "start", "node", "h") == sorted((*k, h) for k, h in want.items())
+        assert walked[-1].count() <= 5 * 5  # without the many nodes that nothing leads to
