@@ -1,5 +1,6 @@
 """Work grows with what is asked, not with pairs of targets."""
 
+import zlib
 from types import SimpleNamespace
 
 import pytest
@@ -147,3 +148,38 @@ def test_shared_neighbourhoods_are_walked_once(spark, monkeypatch):
                 want.setdefault((start, b), h)
         assert rows(traverse.closure(spark.createDataFrame(seeds, "start string, node string"), steps, most), "start", "node", "h") == sorted((*k, h) for k, h in want.items())
         assert walked[-1].count() <= 5 * 5  # without the many nodes that nothing leads to
+
+
+def test_paths_are_walked_once_for_each_parent(spark, monkeypatch):
+    walked = []
+    monkeypatch.setattr(traverse, "stored", lambda df, name, plain=traverse.stored: walked.append(plain(df, name)) or walked[-1] if name == "paths" else plain(df, name))
+    few = [f"c{i}" for i in range(7)]
+    many = [f"z{i:02d}" for i in range(30)]
+    hash_ = lambda *x: zlib.crc32(repr(x).encode())
+    rels = ("feeds", "hasPart", "isLocationOf")
+    edges = {(a, rels[hash_(a, b, k) % 3], b) for a in few for b in few for k in range(2) if hash_(a, b, k, "few") % 3 == 0}
+    edges |= {(a, rels[hash_(a, b) % 3], b) for a in few for b in many[2:] if hash_(a, b, "many") % 3 == 0} | {("r", "isLocationOf", "c0"), ("r", "feeds", "z01"), ("s", "feeds", "s"), ("t", "hasPart", "s")}
+    _, _, s = make(spark, [(x, "AHU", None) for x in [*few, *many, "r", "s", "t"]], sorted(edges))
+    nodes = [*few, *many, "r", "s", "t"]
+    roots = {x for x in nodes if not any(b == x for _, _, b in edges)}
+    asked = [(x, x) for x in nodes] + [("both", "c3"), ("both", "z05"), ("twice", "z05"), ("twice", "z05"), ("gone", "nowhere")]
+
+    def greedy(node, most):
+        path = [node]
+        while len(path) <= most and path[-1] not in roots:
+            ways = [(rels.index(rel), rel, a) for a, rel, b in edges if b == path[-1] and a not in path]
+            if not ways:
+                break
+            path.append(min(ways)[2])
+        return path
+
+    lengths = set()
+    for most, sent in ((0, 9), (3, 0), (12, 2_000_000)):
+        monkeypatch.setattr(traverse, "MAX_SENT", sent)
+        walked.clear()
+        want = sorted({(start, tuple(greedy(x, most))) for start, x in asked if x in nodes})
+        assert sorted((r.start, tuple(r.path)) for r in traverse.primary_path(s, spark.createDataFrame(asked, "start string, node string"), most).collect()) == want
+        assert all(df.count() <= 10 for df in walked)  # few, r, s and t, not many
+        lengths |= {len(p) for _, p in want}
+    assert max(lengths) > 5
+    assert traverse.primary_path(s, spark.createDataFrame([], "start string, node string")).count() == 0
