@@ -183,3 +183,20 @@ def test_paths_are_walked_once_for_each_parent(spark, monkeypatch):
         lengths |= {len(p) for _, p in want}
     assert max(lengths) > 5
     assert traverse.primary_path(s, spark.createDataFrame([], "start string, node string")).count() == 0
+
+
+def test_one_step_deals_only_with_edges_between_targets_and_leaves(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(baselines, "stored", lambda df, name, plain=baselines.stored: made.append(plain(df, name)) or made[-1])
+    n, e, _ = hub(spark, 40)
+    own = lambda where: n.where(where).select(F.col("node_id").alias("target"), F.col("brick_class").alias("target_class"), "node_ord")
+    targets = own("has_ts")
+    assert rows(baselines.hops(targets, n, e, 1), "target", "leaf", "h") == [("own", "p000", 1), ("p000", "own", 1)]
+    assert max(df.count() for df in made) <= 3  # the 43 edges lead both ways 83 times
+    assert rows(baselines.hop_summary(*baselines.reach(targets, n, e, 1), 1)) == [("own", 1, "p000", "p000", 1), ("p000", 1, "own", "own", 1)]
+    records = Ablations(SimpleNamespace(targets=targets, nodes=n, edges=e), ["1hop"]).records("1hop")
+    assert rows(records.where("n_leaves > 0"), "target_uri", "n_leaves") == [("own", 1), ("p000", 1)] and records.count() == 42
+    # a target need not be a leaf
+    assert rows(baselines.hops(own("node_id in ('h', 'a', 'p000')"), n, e, 1), "target", "leaf", "h") == sorted([("a", "far", 1), ("p000", "own", 1), *(("h", f"p{i:03d}", 1) for i in range(40))])
+    # what no edge reaches
+    assert baselines.reach(targets, n, e.limit(0), 1)[1].count() == 0
