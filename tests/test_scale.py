@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_graph import SUB, make, rows
 
-from latticework import catalogue
+from latticework import catalogue, shared
 from latticework.operators import attach, baselines, pulls, traverse, view
 from latticework.plans import selection
 from latticework.plans.ablations import Ablations
@@ -200,3 +200,13 @@ def test_one_step_deals_only_with_edges_between_targets_and_leaves(spark, monkey
     assert rows(baselines.hops(own("node_id in ('h', 'a', 'p000')"), n, e, 1), "target", "leaf", "h") == sorted([("a", "far", 1), ("p000", "own", 1), *(("h", f"p{i:03d}", 1) for i in range(40))])
     # what no edge reaches
     assert baselines.reach(targets, n, e.limit(0), 1)[1].count() == 0
+
+
+def test_rows_are_dealt_out_once_to_be_numbered(spark):
+    x = spark.range(500).select((F.col("id") * 7919 % 1000).alias("x"), (F.col("id") % 3).alias("nth")).repartition(5)
+    for order in (["nth", "x"], [F.col("nth"), F.col("x") + 1]):
+        out = shared.numbered(x, "place", *order)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan
+        want = sorted((r.nth, r.x) for r in x.collect())
+        assert out.columns == ["place", "x", "nth"] and sorted((r.place, r.nth, r.x) for r in out.collect()) == [(i + 1, *k) for i, k in enumerate(want)]
